@@ -1,0 +1 @@
+"""Empty on purpose: every computation of this engine is over finite tables."""

@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlore.operators.history import Before, Blocks
 from sessionlore.operators.sampling import chain, rebalance
 from sessionlore.operators.statistics import accuracy, correlations, quadratic_kappa, row_mode, weighted_vote
 from sessionlore.plans import models as m
@@ -216,11 +217,8 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: Se
                            label: str = "accuracy_group", seed: int = 42) -> DataFrame:
     """Loss of kappa when one column is exchanged between rows.
 
-    Rows are numbered once along a hash and each takes the value of the row before, so every
-    value is used once.
+    Each row takes the value of the row before it along a hash; the first keeps its own.
     """
-    from sessionlore.operators.history import Before, Blocks
-
     base = model.transform(m.assemble(df, columns, label)).agg(quadratic_kappa(m.LABEL, "prediction")).first()[0]
     mixed = df.withColumn("_mix", F.xxhash64(*key, F.lit(seed)))
     moved = materialize(Blocks().over(
@@ -228,7 +226,7 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: Se
     ))
     rows = []
     for i, c in enumerate(columns):
-        swapped = moved.withColumn(c, F.col(f"_moved{i}"))
+        swapped = moved.withColumn(c, F.coalesce(F.col(f"_moved{i}"), F.col(f"`{c}`")))
         value = model.transform(m.assemble(swapped, columns, label)).agg(
             quadratic_kappa(m.LABEL, "prediction")
         ).first()[0]

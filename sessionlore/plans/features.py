@@ -228,21 +228,30 @@ def title_visits(titles: Sequence[str]) -> Feature:
 _PER_TITLE = {"timespent": "Total_Game_Session_Time", "events": "Total_Game_Session_Events"}
 
 
-def title_totals(slice_: DataFrame, history: History, what: str, titles: Sequence[str],
-                 lag_scope: str = INSTALLATION) -> DataFrame:
-    """Running time or events per title up to the session before."""
-    names = {t: f"cumulative_{what}_{t}" for t in titles}
-    value = {t: F.when(F.col("title") == t, F.col(_PER_TITLE[what])).otherwise(0) for t in titles}
-    if lag_scope == GLOBAL:
-        running = history.over(slice_, [PLAYER], _BY_NUMBER, {n: Total(value[t]) for t, n in names.items()})
-        lagged = shift_all(
-            running, [PLAYER, *_BY_NUMBER], {n: Before(F.col(f"`{n}`")) for n in names.values()}
-        )
-    else:
-        lagged = history.over(
-            slice_, [PLAYER], _BY_NUMBER, {n: Total(value[t], PREVIOUS) for t, n in names.items()}
-        )
-    return only_assessments(lagged).select(*KEYS, *[f"`{n}`" for n in names.values()])
+def _title_values(what: str, titles: Sequence[str]) -> dict[str, Column]:
+    source = F.col(_PER_TITLE[what])
+    return {f"cumulative_{what}_{t}": F.when(F.col("title") == t, source).otherwise(0) for t in titles}
+
+
+def title_totals(slice_: DataFrame, history: History, what: str, titles: Sequence[str]) -> DataFrame:
+    """Running time or events per title up to the player's session before."""
+    values = _title_values(what, titles)
+    lagged = history.over(slice_, [PLAYER], _BY_NUMBER, {n: Total(v, PREVIOUS) for n, v in values.items()})
+    return only_assessments(lagged).select(*KEYS, *[F.col(f"`{n}`") for n in values])
+
+
+def title_running(slice_: DataFrame, history: History, what: str, titles: Sequence[str]) -> DataFrame:
+    """The running totals that ``title_shift`` moves on, this session included."""
+    values = _title_values(what, titles)
+    running = history.over(slice_, [PLAYER], _BY_NUMBER, {n: Total(v) for n, v in values.items()})
+    return running.select(*KEYS, "type", *_BY_NUMBER, *[F.col(f"`{n}`") for n in values])
+
+
+def title_shift(running: DataFrame, what: str, titles: Sequence[str]) -> DataFrame:
+    """``title_totals`` with the shift over the whole table, players following each other."""
+    names = list(_title_values(what, titles))
+    lagged = shift_all(running, [PLAYER, *_BY_NUMBER], {n: Before(F.col(f"`{n}`")) for n in names})
+    return only_assessments(lagged).select(*KEYS, *[F.col(f"`{n}`") for n in names])
 
 
 def on_assessments(slice_: DataFrame, history: History, features: Sequence[Feature],
@@ -252,7 +261,7 @@ def on_assessments(slice_: DataFrame, history: History, features: Sequence[Featu
     rows = only_assessments(compute(slice_, history, features, carried))
     names = [c for c in rows.columns if c not in carried]
     if statistics is None:
-        return rows.select(*KEYS, *[f"`{n}`" for n in names])
+        return rows.select(*KEYS, *[F.col(f"`{n}`") for n in names])
     return compute(rows, history, [statistics], [*KEYS, *names])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlore.functions.catalogue import KEYS, PLAYER, SESSION
 from sessionlore.operators.history import History, Position
-from sessionlore.operators.tables import not_in_sessions
+from sessionlore.operators.tables import attach_group, not_in_sessions
 from sessionlore.plans.sessions import START_ORDER
 
 
@@ -36,8 +36,8 @@ def all_but_second_last(assessments: DataFrame, history: History) -> DataFrame:
     return _chosen(from_last(assessments, history), F.col("order") != F.col("LastGame") - 1)
 
 
-def split_last(features: DataFrame, history: History) -> tuple[DataFrame, DataFrame]:
+def split_last(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to predict, rows to score): the former have the most assessments played."""
-    marked = history.attach(features, [PLAYER], {"_most": F.max("Assessments_played")})
+    marked = attach_group(features, [PLAYER], {"_most": F.max("Assessments_played")})
     predict = marked.where(F.col("Assessments_played") == F.col("_most")).drop("_most")
     return predict, not_in_sessions(features, predict)

@@ -33,16 +33,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set here only where none is."""
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sessionlore-")
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,5 +53,5 @@ def materialize(df: DataFrame) -> DataFrame:
     Survives executor loss, and freezes values such as a partition number that a second
     evaluation could assign differently.
     """
-    _checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -503,17 +503,51 @@ def join_inner_n(t):
     ]))
 
 
-@query("f_create_features_stacked")
+_FAILS = """
+totals AS (SELECT installation_id, game_session, ord AS "Game_Session_Order", CAST(p_fails AS INTEGER) AS "Past_Total_Fails", """
+_HISTORY_CHAIN = f"""
+chain AS (SELECT {PAIR}, title, ag, {_statistics(['ag', 'att', 'succ'])}, {_TIMES}, {_GROUPS},
+                 ctr AS "Assessments_played_Counter" FROM past {_R})"""
+_PLAIN_CHAIN = f"""
+chain AS (SELECT {PAIR}, title, ag, {_statistics(['ag', 'att', 'succ'])}, {_TIMES} FROM past {_R})"""
+_PLAIN_TOTALS = f"""
+totals AS (SELECT {PAIR}, ord AS "Game_Session_Order", {_TOTAL_COLUMNS} FROM pt)"""
+_STACKED = FEATURE_TABLE.replace(_PLAIN_CHAIN, _HISTORY_CHAIN).replace(
+    _PLAIN_TOTALS, f"{_FAILS}{_TOTAL_COLUMNS} FROM pt)")
+
+
+@query("f_create_features_stacked", with_(_STACKED, f"SELECT * EXCLUDE (title, ag) {_JOINED}"))
 def f_create_features_stacked(t):
     return near(assemble.create_features(t.log, ALL_TITLES, assemble.STACKED, t.hot))
 
 
-@query("f_create_features_trimmed")
+_FULL_DUMMIES = f"""
+full_dummies AS (SELECT {PAIR}, {_dummies(_SHORT, 'title', '_title')}, {_dummies(_ALL_WORLDS, 'world', '_world')},
+       {_dummies(range(24), 'hour', '_hour')}, {_dummies(range(7), 'dayofweek', '_dayofweek')}
+  FROM (SELECT DISTINCT {PAIR}, title, world, hour, dayofweek FROM days))"""
+
+
+@query("f_create_features_trimmed", with_(_STACKED + "," + _FULL_DUMMIES, f"""
+SELECT * EXCLUDE (title, ag, "Game_Session_Order", "cumAverageTime", "cumAverageEvents", "cumsdTime", "cumsdEvents",
+  "Std_Time_spent_on_games"), ag AS accuracy_group {_JOINED.replace('dummies', 'full_dummies')}"""))
 def f_create_features_trimmed(t):
     return near(assemble.create_features(t.log, ALL_TITLES, assemble.TRIMMED, t.hot))
 
 
-@query("f_create_features_rich")
+_RICH = FEATURE_TABLE.replace(_PLAIN_CHAIN, f"""
+chain AS (SELECT {PAIR}, title, {_statistics(['ag', 'att', 'succ', 'fails', 'accuracy'])}, {_TIMES}, {_GROUPS},
+  round(coalesce(lag(dur, 1, 0.0) OVER ({BEGUN}), 0), 6) AS mean_duration FROM past {_R})""").replace(
+    _PLAIN_TOTALS, f"""
+totals AS (SELECT {PAIR}, CAST(p_fails AS INTEGER) AS "Past_Total_Fails", {_TOTAL_COLUMNS},
+       round(CASE WHEN p_att = 0 THEN 0.0 ELSE CAST(p_succ AS DOUBLE) / p_att END, 6) AS "Past_Total_Accuracy" FROM pt)"""
+) + "," + _OVERALL
+
+
+@query("f_create_features_rich", with_(_RICH, f"""
+SELECT * EXCLUDE (title, year, "Assessments_played", mt, ma, ms), mt AS "OverallMean_Game_Session_Time",
+       round(ma, 6) AS "OverallMean_Attempt", round(ms, 6) AS "OverallMean_IsAttemptSuccessful",
+       round(ms / ma, 6) AS "OverallMean_accuracy"
+FROM (SELECT DISTINCT ON ({PAIR}, month, hour, dayofweek) * {_JOINED}) JOIN measures USING (title)"""))
 def f_create_features_rich(t):
     return near(assemble.create_features(t.log, ALL_TITLES, assemble.RICH, t.hot))
 

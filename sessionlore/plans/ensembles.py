@@ -116,6 +116,11 @@ def fold_of(key: Sequence[str], folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)).cast("int")
 
 
+def fold_of_number(key: str, folds: int) -> Column:
+    """Fold of a row that is numbered already."""
+    return F.pmod(F.col(key), F.lit(folds)).cast("int")
+
+
 def base_models(seed: int = 42, key: str = "row_key", depth: int = m.DEEPEST, stumps: int = 50) -> dict:
     return {
         "tree": m.tree(depth, seed), "nearest": m.NearestVote(5, key), "stumps": m.BoostedStumps(stumps, 1, seed),
@@ -214,7 +219,8 @@ def random_search(train: DataFrame, grid: dict | None = None, draws: int = 100,
 
 
 def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: Sequence[str],
-                           label: str = "accuracy_group", seed: int = 42) -> DataFrame:
+                           label: str = "accuracy_group", seed: int = 42,
+                           only: Sequence[str] | None = None) -> DataFrame:
     """Loss of kappa when one column is exchanged between rows.
 
     Each row takes the value of the row before it along a hash; the first keeps its own.
@@ -226,6 +232,8 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], key: Se
     ))
     rows = []
     for i, c in enumerate(columns):
+        if only is not None and c not in only:
+            continue
         swapped = moved.withColumn(c, F.coalesce(F.col(f"_moved{i}"), F.col(f"`{c}`")))
         value = model.transform(m.assemble(swapped, columns, label)).agg(
             quadratic_kappa(m.LABEL, "prediction")

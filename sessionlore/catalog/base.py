@@ -65,6 +65,11 @@ class Tables:
     def assessments(self) -> DataFrame:
         return s.assessment_rows(self.flagged)
 
+    @cached_property
+    def written_assessments(self) -> DataFrame:
+        """For plans that use the assessments more than once: the log is read once for them."""
+        return materialize(self.assessments)
+
     @cached_property
     def written_sessions(self) -> DataFrame:
         return materialize(self.sessions)
@@ -72,7 +77,7 @@ class Tables:
     @cached_property
     def labels(self) -> DataFrame:
         """Outcome per assessment, as a label table gives it."""
-        return self.assessments.select("installation_id", "game_session", "accuracy_group")
+        return self.written_assessments.select("installation_id", "game_session", "accuracy_group")
 
     def along(self, tables, build) -> DataFrame:
         return by_history(tables, PLAYER, build, self.hot)

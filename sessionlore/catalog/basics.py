@@ -62,7 +62,7 @@ QUALIFY ctr = count(*) OVER (PARTITION BY installation_id)"""
 def sink_submission(t):
     """The file a submission is, read again."""
     path = t.scratch()
-    files.write_submission(holdout.last_assessment(t.assessments).join(t.labels, KEYS), path)
+    files.write_submission(holdout.last_assessment(t.written_assessments).join(t.labels, KEYS), path)
     return files.read_csv(t.spark, path, "installation_id long, accuracy_group int")
 
 
@@ -269,8 +269,8 @@ def chk_width(t):
     def build(part, h):
         return f.compute(part, h, [f.previous_accuracy()])
 
-    train = t.along(t.assessments, build)
-    scored = train.join(holdout.last_assessment(t.assessments), KEYS)
+    train = t.along(t.written_assessments, build)
+    scored = train.join(holdout.last_assessment(t.written_assessments), KEYS)
     if not tb.same_width(train, scored):
         raise ValueError("tables differ in width")
     return tb.require_columns(scored, train.columns).select(*KEYS, "Past_Assessment_ag")
@@ -286,7 +286,7 @@ second AS (SELECT installation_id, game_session, ag FROM assess
 
 
 def _before(t):
-    rows = t.along(t.assessments, lambda part, h: f.compute(part, h, [f.previous_accuracy()]))
+    rows = t.along(t.written_assessments, lambda part, h: f.compute(part, h, [f.previous_accuracy()]))
     return rows.select(*KEYS, F.col("Past_Assessment_att").alias("before"))
 
 
@@ -303,27 +303,27 @@ FROM last l LEFT JOIN sl s USING (installation_id, game_session)""")
 def join_left(t):
     """Every session to score stays, also one without an end row."""
     order = t.along(t.sessions, s.end_slice).select(*KEYS, "Game_Session_Order")
-    return tb.keep_left(holdout.last_assessment(t.assessments), order).select(*KEYS, "Game_Session_Order")
+    return tb.keep_left(holdout.last_assessment(t.written_assessments), order).select(*KEYS, "Game_Session_Order")
 
 
 @query("join_right", _ENDS_TIME)
 def join_right(t):
     order = t.along(t.sessions, s.end_slice).select(*KEYS, "Game_Session_Order")
-    return tb.keep_right(order, holdout.last_assessment(t.assessments))
+    return tb.keep_right(order, holdout.last_assessment(t.written_assessments))
 
 
 @query("join_semi_cols", with_(ASSESS + _BEFORE, f"""
 SELECT {PAIR}, before FROM past WHERE game_session IN (SELECT game_session FROM second)
 AND installation_id IN (SELECT installation_id FROM second)"""))
 def join_semi_cols(t):
-    second = t.along(t.assessments, holdout.second_last_assessment)
+    second = t.along(t.written_assessments, holdout.second_last_assessment)
     return tb.in_both(_before(t), second).select(*KEYS, "before")
 
 
 @query("join_anti", with_(ASSESS + _BEFORE, f"""
 SELECT {PAIR}, before FROM past WHERE game_session NOT IN (SELECT game_session FROM last)"""))
 def join_anti(t):
-    return tb.not_in_sessions(_before(t), holdout.last_assessment(t.assessments)).select(*KEYS, "before")
+    return tb.not_in_sessions(_before(t), holdout.last_assessment(t.written_assessments)).select(*KEYS, "before")
 
 
 _TITLE = "title_means AS (SELECT title, avg(t) AS mean_time, avg(e) AS mean_events, avg(att) AS mean_attempts FROM assess GROUP BY title)"
@@ -331,7 +331,7 @@ _TITLE = "title_means AS (SELECT title, avg(t) AS mean_time, avg(e) AS mean_even
 
 def _title_means(t):
     """Three measures per title in one aggregate."""
-    return t.assessments.groupBy("title").agg(
+    return t.written_assessments.groupBy("title").agg(
         F.avg("Total_Game_Session_Time").alias("mean_time"), F.avg("Total_Game_Session_Events").alias("mean_events"),
         F.avg("Attempts").alias("mean_attempts"),
     )
@@ -341,7 +341,7 @@ def _title_means(t):
 SELECT {PAIR}, round(mean_time, 0) AS mean_time, round(mean_attempts, 6) AS mean_attempts
 FROM assess JOIN title_means USING (title)"""))
 def join_dim(t):
-    joined = t.assessments.select(*KEYS, "title").join(_title_means(t), "title")
+    joined = t.written_assessments.select(*KEYS, "title").join(_title_means(t), "title")
     return rounded(joined.select(*KEYS, "mean_time", "mean_attempts"), mean_time=0)
 
 

@@ -419,7 +419,7 @@ SELECT {PAIR}, mt AS "OverallMean_Game_Session_Time", round(ma, 6) AS "OverallMe
        round(ms, 6) AS "OverallMean_IsAttemptSuccessful", round(ms / ma, 6) AS "OverallMean_accuracy"
 FROM assess JOIN measures USING (title)"""))
 def f_overall_title(t):
-    return near(f.overall_title(t.assessments))
+    return near(f.overall_title(t.written_assessments))
 
 
 @query("f_json_wide", """

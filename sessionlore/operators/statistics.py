@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlore.functions.scalars import clip, fisher_z, inverse_fisher_z
 from sessionlore.operators.history import Blocks, Total
+from sessionlore.session import materialize
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -95,20 +96,21 @@ def correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame
     return wide.select(F.inline(pairs))
 
 
-def rating_range(df: DataFrame, *columns: str) -> tuple[int, int]:
-    row = df.agg(F.min(F.least(*map(F.col, columns))) if len(columns) > 1 else F.min(columns[0]),
-                 F.max(F.greatest(*map(F.col, columns))) if len(columns) > 1 else F.max(columns[0])).first()
-    return row[0], row[1]
+def _range(cells: DataFrame, columns: Sequence[str], lowest: int | None, highest: int | None) -> tuple[int, int]:
+    ends = [f(c) for c in columns for f in (F.min, F.max)]
+    found = [v for v in cells.agg(*ends).first() if v is not None]
+    return (min(found) if lowest is None else lowest), (max(found) if highest is None else highest)
 
 
 def confusion(df: DataFrame, a: str, b: str, lowest: int | None = None, highest: int | None = None) -> DataFrame:
     """Counts for every pair of ratings in the range, zeros kept."""
-    if lowest is None or highest is None:
-        low, high = rating_range(df, a, b)
-        lowest, highest = low if lowest is None else lowest, high if highest is None else highest
     counts = df.groupBy(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    if lowest is None or highest is None:
+        # The few cells are written, so that their range does not cost another pass over the data.
+        counts = materialize(counts)
+        lowest, highest = _range(counts, ["a", "b"], lowest, highest)
     ratings = F.sequence(F.lit(lowest), F.lit(highest))
     grid = df.sparkSession.range(1).select(F.explode(ratings).alias("a")).select(
         "a", F.explode(ratings).alias("b")
@@ -117,10 +119,10 @@ def confusion(df: DataFrame, a: str, b: str, lowest: int | None = None, highest:
 
 
 def histogram(df: DataFrame, rating: str, lowest: int | None = None, highest: int | None = None) -> DataFrame:
-    if lowest is None or highest is None:
-        low, high = rating_range(df, rating)
-        lowest, highest = low if lowest is None else lowest, high if highest is None else highest
     counts = df.groupBy(F.col(rating).cast("int").alias("rating")).agg(F.count(F.lit(1)).alias("n"))
+    if lowest is None or highest is None:
+        counts = materialize(counts)
+        lowest, highest = _range(counts, ["rating"], lowest, highest)
     grid = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("rating"))
     return grid.join(counts, "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -88,7 +88,7 @@ def create_features(log: DataFrame, titles: Sequence[str], settings: Settings =
     is read for the session measures and, filtered to attempts, for the totals up to the ends.
     """
     flagged = s.flag_attempts(log)
-    parts = materialize(s.by_calendar(flagged))
+    parts = materialize(s.by_hour(flagged, durations=settings.mean_duration))
     if hot is None:
         hot = hot_keys(parts, PLAYER, weight=1 + F.col("Attempts"))
     sessions = s.roll_up(parts)
@@ -97,7 +97,7 @@ def create_features(log: DataFrame, titles: Sequence[str], settings: Settings =
     across = settings.lag_scope == f.GLOBAL
     tables = [parts, flagged]
     if across:
-        tables.append(f.global_lags(s.only_assessments(sessions)))
+        tables.append(f.global_lags(s.only_assessments(sessions), settings.mean_duration))
 
     def build(parts: DataFrame, flagged: DataFrame, *rest) -> DataFrame:
         history: History = rest[-1]

@@ -51,6 +51,7 @@ def bagged_vote(train: DataFrame, test: DataFrame, keys: Sequence[str], columns:
     ``chained`` draws each sample from the one before instead of from the table.
     """
     base = base or (lambda: m.forest_of("bagged"))
+    train = materialize(train)
     order = [*keys, *columns]
     seeds = [seed + i for i in range(rounds)]
     samples = chain(train, label, order, mode, seeds) if chained else (

@@ -20,7 +20,7 @@ from sessionlore.functions.scalars import round_int, row_sum, safe_divide, strip
 from sessionlore.operators.history import (
     PREVIOUS, Before, Blocks, History, Mean, Peak, Position, Running, Spread, Total,
 )
-from sessionlore.plans.sessions import START_ORDER, numbered_ends, only_assessments
+from sessionlore.plans.sessions import END_ORDER, ENDS_ORDER, START_ORDER, numbered_ends, only_assessments
 
 INSTALLATION, GLOBAL = "installation", "global"
 
@@ -150,10 +150,10 @@ def duration_lag(lagged: bool = False) -> Feature:
     )
 
 
-def global_lags(assessments: DataFrame) -> DataFrame:
+def global_lags(assessments: DataFrame, durations: bool = True) -> DataFrame:
     """The lags that run on across players: the first row of a player takes the last of another."""
     till = shift_all(assessments, [PLAYER, SESSION], till_lags())
-    return shift_all(
+    return till if not durations else shift_all(
         till, [PLAYER, *START_ORDER], {"_duration": Before(F.col("mean_duration"), 0.0)}
     )
 
@@ -174,7 +174,7 @@ def type_counts(with_assessments: bool = True) -> Feature:
         del names["Assessments_played"]
     first = {name: Total(_of_type(type_, F.lit(1))) for name, type_ in names.items()}
     derived = {"Total_Games_played": F.col("Game_Session_Order")}
-    return Feature(_BY_NUMBER, first, derived, {}, ["Total_Games_played", *first])
+    return Feature(END_ORDER, first, derived, {}, ["Total_Games_played", *first])
 
 
 _TIMED = {"Activities": "Activity", "Games": "Game", "Assessments": ASSESSMENT}
@@ -189,7 +189,7 @@ def type_time() -> Feature:
         for n, t in _TIMED.items()
     }
     derived = {"Total_Time_spent": row_sum(*[f"Time_spent_on_{n}" for n in _TIMED])}
-    return Feature(_BY_NUMBER, first, derived, {}, ["Total_Time_spent", *first])
+    return Feature(END_ORDER, first, derived, {}, ["Total_Time_spent", *first])
 
 
 def total_time_statistics(with_std: bool = True) -> Feature:
@@ -200,7 +200,7 @@ def total_time_statistics(with_std: bool = True) -> Feature:
     second = {"Average_Total_Time_spent": Mean(F.col("Total_Time_spent"))}
     if with_std:
         second["Std_Time_spent_on_games"] = Spread(F.col("Total_Time_spent"))
-    return Feature(_BY_NUMBER, second=second, out=list(second))
+    return Feature(END_ORDER, second=second, out=list(second))
 
 
 def world_time() -> Feature:
@@ -208,7 +208,7 @@ def world_time() -> Feature:
         f"Time_spent_in_{w}": Total(F.when(F.col("world") == w, F.col("Total_Game_Session_Time")).otherwise(0))
         for w in TIMED_WORLDS
     }
-    return Feature(_BY_NUMBER, first, out=list(first))
+    return Feature(END_ORDER, first, out=list(first))
 
 
 def level_reached() -> Feature:
@@ -217,12 +217,12 @@ def level_reached() -> Feature:
         for w in TIMED_WORLDS
     }
     derived = {"Total_Level": sum((F.col(n) for n in first), F.lit(0))}
-    return Feature(_BY_NUMBER, first, derived, {}, [*first, "Total_Level"])
+    return Feature(END_ORDER, first, derived, {}, [*first, "Total_Level"])
 
 
 def title_visits(titles: Sequence[str]) -> Feature:
     first = {f"visits_{t}": Total(F.when(F.col("title") == t, 1).otherwise(0)) for t in titles}
-    return Feature(_BY_NUMBER, first, out=list(first))
+    return Feature(END_ORDER, first, out=list(first))
 
 
 _PER_TITLE = {"timespent": "Total_Game_Session_Time", "events": "Total_Game_Session_Events"}
@@ -236,14 +236,14 @@ def _title_values(what: str, titles: Sequence[str]) -> dict[str, Column]:
 def title_totals(slice_: DataFrame, history: History, what: str, titles: Sequence[str]) -> DataFrame:
     """Running time or events per title up to the player's session before."""
     values = _title_values(what, titles)
-    lagged = history.over(slice_, [PLAYER], _BY_NUMBER, {n: Total(v, PREVIOUS) for n, v in values.items()})
+    lagged = history.over(slice_, [PLAYER], END_ORDER, {n: Total(v, PREVIOUS) for n, v in values.items()})
     return only_assessments(lagged).select(*KEYS, *[F.col(f"`{n}`") for n in values])
 
 
 def title_running(slice_: DataFrame, history: History, what: str, titles: Sequence[str]) -> DataFrame:
     """The running totals that ``title_shift`` moves on, this session included."""
     values = _title_values(what, titles)
-    running = history.over(slice_, [PLAYER], _BY_NUMBER, {n: Total(v) for n, v in values.items()})
+    running = history.over(slice_, [PLAYER], END_ORDER, {n: Total(v) for n, v in values.items()})
     return running.select(*KEYS, "type", *_BY_NUMBER, *[F.col(f"`{n}`") for n in values])
 
 
@@ -257,7 +257,7 @@ def title_shift(running: DataFrame, what: str, titles: Sequence[str]) -> DataFra
 def on_assessments(slice_: DataFrame, history: History, features: Sequence[Feature],
                    statistics: Feature | None = None) -> DataFrame:
     """Features along all sessions, then ``statistics`` along the assessments, for those."""
-    carried = [*KEYS, "type", "Game_Session_Order"]
+    carried = [*KEYS, "type", "end_at"]
     rows = only_assessments(compute(slice_, history, features, carried))
     names = [c for c in rows.columns if c not in carried]
     if statistics is None:
@@ -267,7 +267,8 @@ def on_assessments(slice_: DataFrame, history: History, features: Sequence[Featu
 
 # ---- totals up to the end rows ----------------------------------------------------------------
 
-def past_totals(ends: DataFrame, history: History, variant: str = "basic") -> DataFrame:
+def past_totals(ends: DataFrame, history: History, variant: str = "basic",
+                keep: Sequence[str] = ()) -> DataFrame:
     """Attempts, successes and assessments of the player before, as of the last assessment's end.
 
     ``fails`` adds the fails, ``accuracy`` also the ratio.
@@ -277,9 +278,9 @@ def past_totals(ends: DataFrame, history: History, variant: str = "basic") -> Da
             "Past_Assessments_Played": "Assessments_played_Counter"}
     if variant != "basic":
         lags["Past_Total_Fails"] = "Cumulative_Fails"
-    lagged = history.over(rows, [PLAYER], _BY_NUMBER, {n: Before(F.col(c)) for n, c in lags.items()})
+    lagged = history.over(rows, [PLAYER], ENDS_ORDER, {n: Before(F.col(c)) for n, c in lags.items()})
     lagged = lagged.withColumns({n: round_int(F.col(n)) for n in lags})
-    out = [*KEYS, "Game_Session_Order", *lags]
+    out = [*KEYS, *keep, "Game_Session_Order", *lags]
     if variant == "accuracy":
         lagged = lagged.withColumn(
             "Past_Total_Accuracy", safe_divide(F.col("Past_Total_Successes"), F.col("Past_Total_Attempts"))
@@ -295,13 +296,11 @@ def title_of_past_totals(ends: DataFrame, history: History, what: str, titles: S
     The value is spread over the title columns and is not summed again.
     """
     source = {"attempts": "Past_Total_Attempts", "successes": "Past_Total_Successes"}[what]
-    rows = past_totals(ends, history)
-    titled = rows.join(ends.select(*KEYS, "title").distinct(), KEYS)
-    # Several end rows of one session and order are averaged, as the pivot does.
-    return titled.groupBy(*KEYS, "Game_Session_Order").agg(*[
-        F.avg(F.when(F.col("title") == t, F.col(source)).otherwise(0)).alias(f"cumulative_{what}_{t}")
+    titled = past_totals(ends, history, keep=["title"])
+    return titled.select(*KEYS, *[
+        F.when(F.col("title") == t, F.col(source)).otherwise(0).cast("double").alias(f"cumulative_{what}_{t}")
         for t in titles
-    ]).drop("Game_Session_Order")
+    ])
 
 
 # ---- calendar and titles ----------------------------------------------------------------------

@@ -16,6 +16,7 @@ from sessionlore.operators.history import PREVIOUS, Before, History, Latest, Pos
 
 END_ORDER = ["end_at", SESSION]
 START_ORDER = ["started", SESSION]
+ENDS_ORDER = ["timestamp", SESSION, "Cumulative_Attempts", "Cumulative_Successes"]
 
 
 def flag_attempts(log: DataFrame, parse: bool = False) -> DataFrame:
@@ -30,7 +31,8 @@ def _measures() -> dict[str, Column]:
     """Session measures of a flagged log, mergeable by the aggregate named in ``_MERGE``."""
     micros = F.unix_micros("timestamp")
     tried = F.col("Attempt") == 1
-    duration = json_value("event_data", "duration", "double")
+    assessed = F.col("type") == ASSESSMENT
+    duration = F.when(assessed, json_value("event_data", "duration", "double"))
     return {
         "started": F.min("timestamp"),
         "Total_Game_Session_Time": F.max("game_time"),
@@ -60,20 +62,22 @@ _MERGE = {
     "end": F.max, "end_latest": F.max,
 }
 
-CALENDAR = ["type", "title", "world", "month", "hour", "year", "dayofweek"]
+DESCRIBED = ["type", "title", "world"]
 
 
 def _finish(sessions: DataFrame) -> DataFrame:
     at = F.timestamp_micros(-F.col("end.at"))
+    if "duration_rows" in sessions.columns:
+        mean = F.try_divide(F.col("duration_sum"), F.col("duration_rows"))
+        sessions = sessions.withColumn("mean_duration", mean).drop("duration_sum", "duration_rows")
     return sessions.withColumns({
         "type": F.col("end.type"), "title": F.col("end.title"), "world": F.col("end.world"),
         # A session without a row at both maxima has no end row.
         "has_end": F.col("end.time") == F.col("Total_Game_Session_Time"),
         "end_at": at,
         "tied_end": F.col("end_latest.at") != -F.col("end.at"),
-        "mean_duration": F.try_divide(F.col("duration_sum"), F.col("duration_rows")),
         "accuracy_group": accuracy_group(F.col("Attempts"), F.col("Success")),
-    }).drop("end", "end_latest", "duration_sum", "duration_rows")
+    }).drop("end", "end_latest")
 
 
 def session_rows(flagged: DataFrame) -> DataFrame:
@@ -81,31 +85,35 @@ def session_rows(flagged: DataFrame) -> DataFrame:
     return _finish(flagged.groupBy(*KEYS).agg(*[c.alias(n) for n, c in _measures().items()]))
 
 
+def _calendar(rows: DataFrame, ts: str) -> DataFrame:
+    t = F.col(ts)
+    return rows.select(
+        *KEYS, *DESCRIBED, F.month(t).alias("month"), F.hour(t).alias("hour"), F.year(t).alias("year"),
+        F.weekday(t).alias("dayofweek"),
+    )
+
+
 def calendar_rows(log: DataFrame) -> DataFrame:
     """Distinct calendar values of each session."""
-    t = F.col("timestamp")
-    return log.select(
-        *KEYS, "type", "title", "world", F.month(t).alias("month"), F.hour(t).alias("hour"),
-        F.year(t).alias("year"), F.weekday(t).alias("dayofweek"),
-    ).distinct()
-
-
-def by_calendar(flagged: DataFrame) -> DataFrame:
-    """Session measures per distinct calendar value: one pass that both ``roll_up`` and
-    ``calendar_of`` can go on from."""
-    t = F.col("timestamp")
-    parts = {"month": F.month(t), "hour": F.hour(t), "year": F.year(t), "dayofweek": F.weekday(t)}
-    return flagged.withColumns(parts).groupBy(*KEYS, *CALENDAR).agg(
-        *[c.alias(n) for n, c in _measures().items()]
-    )
+    return _calendar(log, "timestamp").distinct()
+
+
+def by_hour(flagged: DataFrame, durations: bool = True) -> DataFrame:
+    """Session measures per hour on the clock: one pass over the log that both ``roll_up`` and
+    ``calendar_of`` go on from. Without ``durations`` the JSON of the log is not parsed."""
+    hours = flagged.withColumn("clock_hour", F.date_trunc("hour", "timestamp"))
+    measures = {n: c for n, c in _measures().items() if durations or not n.startswith("duration")}
+    return hours.groupBy(*KEYS, *DESCRIBED, "clock_hour").agg(*[c.alias(n) for n, c in measures.items()])
 
 
 def roll_up(parts: DataFrame) -> DataFrame:
-    return _finish(parts.groupBy(*KEYS).agg(*[f(n).alias(n) for n, f in _MERGE.items()]))
+    return _finish(parts.groupBy(*KEYS).agg(
+        *[f(n).alias(n) for n, f in _MERGE.items() if n in parts.columns]
+    ))
 
 
 def calendar_of(parts: DataFrame) -> DataFrame:
-    return parts.select(*KEYS, *CALENDAR)
+    return _calendar(parts, "clock_hour")
 
 
 def assessment_rows(flagged: DataFrame) -> DataFrame:
@@ -184,8 +192,7 @@ def end_totals(flagged: DataFrame, sessions: DataFrame, history: History,
 
 
 def numbered_ends(ends: DataFrame, history: History) -> DataFrame:
-    order = ["timestamp", SESSION, "Cumulative_Attempts", "Cumulative_Successes"]
-    return history.over(ends, [PLAYER], order, {"Game_Session_Order": Position()})
+    return history.over(ends, [PLAYER], ENDS_ORDER, {"Game_Session_Order": Position()})
 
 
 def event_totals(flagged: DataFrame, history: History) -> DataFrame:
@@ -201,7 +208,7 @@ def past_of_all_types(ends: DataFrame, history: History) -> DataFrame:
     """Past totals with the lag taken before any filter on the type."""
     counter = F.col("Assessments_played_Counter")
     lagged = history.over(
-        numbered_ends(ends, history), [PLAYER], ["Game_Session_Order"],
+        numbered_ends(ends, history), [PLAYER], ENDS_ORDER,
         {"Past_Total_Attempts": Before(F.col("Cumulative_Attempts")),
          "Past_Total_Successes": Before(F.col("Cumulative_Successes")),
          "_played": Latest(counter, PREVIOUS)},

@@ -12,16 +12,22 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small exchanges may keep a partition per core; large ones are merged to the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # A join on (player, session) may reuse a partitioning by player alone.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
+# Settings a session can only be started with.
+START_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
 def build_session(app: str = "sessionlore", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**SETTINGS, **extra}.items():
+    for name, value in {**START_SETTINGS, **SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

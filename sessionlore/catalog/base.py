@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from sessionlore.functions.catalogue import PLAYER
 from sessionlore.operators.history import by_history, hot_keys
 from sessionlore.plans import sessions as s
-from sessionlore.session import materialize, prepare, shared_folder
+from sessionlore.session import materialize, prepare, scratch_path
 from sessionlore.sources.play_view import play_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +42,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def scratch(self) -> str:
-        return f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        return scratch_path(self.spark)
 
     @cached_property
     def hot(self):

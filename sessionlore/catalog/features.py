@@ -387,7 +387,7 @@ def _dummies(values, column, suffix=""):
 SELECT {PAIR}, month, hour, year, dayofweek, {_dummies(_ALL_WORLDS, 'world')}, {_dummies(_SHORT, 'title')}
 FROM days QUALIFY hour = min(hour) OVER (PARTITION BY {PAIR})"""))
 def f_calendar_dummies(t):
-    return f.calendar_dummies(s.calendar_rows(t.log), assemble.short_titles(ALL_TITLES))
+    return f.calendar_dummies(s.calendar_rows(s.only_assessments(t.log)), assemble.short_titles(ALL_TITLES))
 
 
 @query("f_calendar_dummies_full", with_(_DAYS, f"""
@@ -395,7 +395,7 @@ SELECT {PAIR}, {_dummies(_SHORT, 'title', '_title')}, {_dummies(_ALL_WORLDS, 'wo
        {_dummies(range(24), 'hour', '_hour')}, {_dummies(range(7), 'dayofweek', '_dayofweek')}
 FROM (SELECT DISTINCT {PAIR}, title, world, hour, dayofweek FROM days)"""))
 def f_calendar_dummies_full(t):
-    return f.calendar_dummies_full(s.calendar_rows(t.log), assemble.short_titles(ALL_TITLES))
+    return f.calendar_dummies_full(s.calendar_rows(s.only_assessments(t.log)), assemble.short_titles(ALL_TITLES))
 
 
 @query("f_event_code_history", with_(GAME, f"""
@@ -493,7 +493,7 @@ def join_inner_n(t):
     return near(assemble.join_all([
         along(f.type_counts()),
         along(f.type_time(), statistics=f.total_time_statistics()),
-        f.calendar_dummies(s.calendar_rows(t.log), assemble.short_titles(ALL_TITLES)),
+        f.calendar_dummies(s.calendar_rows(s.only_assessments(t.log)), assemble.short_titles(ALL_TITLES)),
         t.ends(f.past_totals),
         begun(f.past_time_events()),
         t.along(assessments, f.time_to_attempt),

@@ -82,7 +82,7 @@ def row_sum(*names: str) -> Column:
 
 def json_value(column: str, key: str, type_: str) -> Column:
     """One key of a JSON object text; null when the text or the value does not fit."""
-    return F.try_variant_get(F.try_parse_json(F.col(column)), f"$.{key}", type_)
+    return F.get_json_object(column, f"$.{key}").try_cast(type_)
 
 
 def paste(*columns: str, sep: str = " ") -> Column:

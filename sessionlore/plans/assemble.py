@@ -85,23 +85,22 @@ def create_features(log: DataFrame, titles: Sequence[str], settings: Settings =
     """All features of each assessment, joined on (player, session).
 
     A session without end row drops out, several end rows or calendar rows multiply it. The log
-    is read for the session measures and, filtered to attempts, for the totals up to the ends.
+    is read for the session measures, filtered to assessments for their calendar, and filtered to
+    attempts for the totals up to the ends.
     """
     flagged = s.flag_attempts(log)
-    parts = materialize(s.by_hour(flagged, durations=settings.mean_duration))
+    sessions = materialize(s.session_rows(flagged, durations=settings.mean_duration))
     if hot is None:
-        hot = hot_keys(parts, PLAYER, weight=1 + F.col("Attempts"))
-    sessions = s.roll_up(parts)
+        hot = hot_keys(sessions, PLAYER, weight=1 + F.col("Attempts"))
     tied = not sessions.where("has_end AND tied_end").isEmpty()
     overall = f.overall_by_title(s.only_assessments(sessions)) if settings.title_measures else None
     across = settings.lag_scope == f.GLOBAL
-    tables = [parts, flagged]
+    tables = [sessions, s.calendar_rows(s.only_assessments(log)), flagged]
     if across:
         tables.append(f.global_lags(s.only_assessments(sessions), settings.mean_duration))
 
-    def build(parts: DataFrame, flagged: DataFrame, *rest) -> DataFrame:
+    def build(sessions: DataFrame, days: DataFrame, flagged: DataFrame, *rest) -> DataFrame:
         history: History = rest[-1]
-        sessions = s.roll_up(parts)
         assessments = rest[0] if across else s.only_assessments(sessions)
         carried = [*KEYS, "title", "accuracy_group", "Num_Of_Events_Till_Attempt", "Time_past_Till_Attempt"]
         lags = list(f.till_lags()) if across else []
@@ -118,7 +117,6 @@ def create_features(log: DataFrame, titles: Sequence[str], settings: Settings =
         totals = f.past_totals(ends, history, settings.past_totals)
         if settings.label == "internal":
             totals = totals.drop("Game_Session_Order")
-        days = s.calendar_of(parts)
         short = short_titles(titles)
         dummies = (
             f.calendar_dummies_full(days, short) if settings.dummies == "full"

@@ -28,7 +28,7 @@ def flag_attempts(log: DataFrame, parse: bool = False) -> DataFrame:
 
 
 def _measures() -> dict[str, Column]:
-    """Session measures of a flagged log, mergeable by the aggregate named in ``_MERGE``."""
+    """Session measures of a flagged log."""
     micros = F.unix_micros("timestamp")
     tried = F.col("Attempt") == 1
     assessed = F.col("type") == ASSESSMENT
@@ -55,13 +55,6 @@ def _measures() -> dict[str, Column]:
     }
 
 
-_MERGE = {
-    "started": F.min, "Total_Game_Session_Time": F.max, "Total_Game_Session_Events": F.max,
-    "events": F.sum, "Attempts": F.sum, "Success": F.sum, "Num_Of_Events_Till_Attempt": F.max,
-    "Time_past_Till_Attempt": F.max, "duration_sum": F.sum, "duration_rows": F.sum,
-    "end": F.max, "end_latest": F.max,
-}
-
 DESCRIBED = ["type", "title", "world"]
 
 
@@ -80,40 +73,22 @@ def _finish(sessions: DataFrame) -> DataFrame:
     }).drop("end", "end_latest")
 
 
-def session_rows(flagged: DataFrame) -> DataFrame:
-    """One row per (player, session) with its totals, start, end row and outcome."""
-    return _finish(flagged.groupBy(*KEYS).agg(*[c.alias(n) for n, c in _measures().items()]))
-
+def session_rows(flagged: DataFrame, durations: bool = True) -> DataFrame:
+    """One row per (player, session) with its totals, start, end row and outcome.
 
-def _calendar(rows: DataFrame, ts: str) -> DataFrame:
-    t = F.col(ts)
-    return rows.select(
-        *KEYS, *DESCRIBED, F.month(t).alias("month"), F.hour(t).alias("hour"), F.year(t).alias("year"),
-        F.weekday(t).alias("dayofweek"),
-    )
+    Without ``durations`` the JSON of the log is not parsed.
+    """
+    measures = {n: c for n, c in _measures().items() if durations or not n.startswith("duration")}
+    return _finish(flagged.groupBy(*KEYS).agg(*[c.alias(n) for n, c in measures.items()]))
 
 
 def calendar_rows(log: DataFrame) -> DataFrame:
     """Distinct calendar values of each session."""
-    return _calendar(log, "timestamp").distinct()
-
-
-def by_hour(flagged: DataFrame, durations: bool = True) -> DataFrame:
-    """Session measures per hour on the clock: one pass over the log that both ``roll_up`` and
-    ``calendar_of`` go on from. Without ``durations`` the JSON of the log is not parsed."""
-    hours = flagged.withColumn("clock_hour", F.date_trunc("hour", "timestamp"))
-    measures = {n: c for n, c in _measures().items() if durations or not n.startswith("duration")}
-    return hours.groupBy(*KEYS, *DESCRIBED, "clock_hour").agg(*[c.alias(n) for n, c in measures.items()])
-
-
-def roll_up(parts: DataFrame) -> DataFrame:
-    return _finish(parts.groupBy(*KEYS).agg(
-        *[f(n).alias(n) for n, f in _MERGE.items() if n in parts.columns]
-    ))
-
-
-def calendar_of(parts: DataFrame) -> DataFrame:
-    return _calendar(parts, "clock_hour")
+    t = F.col("timestamp")
+    return log.select(
+        *KEYS, *DESCRIBED, F.month(t).alias("month"), F.hour(t).alias("hour"), F.year(t).alias("year"),
+        F.weekday(t).alias("dayofweek"),
+    ).distinct()
 
 
 def assessment_rows(flagged: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,15 +22,11 @@ SETTINGS = {
 }
 
 
-# Settings a session can only be started with.
-START_SETTINGS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
-
-
 def build_session(app: str = "sessionlore", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**START_SETTINGS, **SETTINGS, **extra}.items():
+    for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
@@ -49,15 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sessionlore-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows.
+    """Write ``df`` as a table in the checkpoint folder and go on from the written rows.
 
-    Survives executor loss, and freezes values such as a partition number that a second
-    evaluation could assign differently.
+    Survives executor loss, freezes values such as a partition number that a second evaluation
+    could assign differently, and lets later plans read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -145,7 +145,6 @@ def test_session_over_an_hour(log):
     assert [r["hour"] for r in few] == [10] and few[0]["Cart Puzzl"] == 1
     assert f.calendar_dummies_full(days, ["Cart Puzzl"]).count() == 2
     assert f.calendar_dummies_full(days, ["Cart Puzzl"], dedupe="first").count() == 1
-    assert s.calendar_of(s.by_hour(s.flag_attempts(log(rows)))).count() == 2
 
 
 def test_session_over_midnight_keeps_the_next_day(log):
@@ -155,14 +154,6 @@ def test_session_over_midnight_keeps_the_next_day(log):
     assert (row["hour"], row["dayofweek"]) == (0, 1)
 
 
-def test_measures_by_hour_roll_up_to_the_same_sessions(log):
-    rows = attempts(True, False, False) + [
-        {"session": "a", "at": "2024-01-01 12:00:00", "count": 9, "time": 99, "event_data": '{"duration":7}'}]
-    flagged = s.flag_attempts(log(rows))
-    direct, rolled = s.session_rows(flagged), s.roll_up(s.by_hour(flagged))
-    assert direct.select(sorted(direct.columns)).collect() == rolled.select(sorted(direct.columns)).collect()
-
-
 def test_levels(spark):
     rows = spark.createDataFrame([("X Level 3",), ("Level A",), ("Nest (Assessment)",)], "title string")
     assert [r[0] for r in rows.select(c.title_level(F.col("title"))).collect()] == [3, None, 0]

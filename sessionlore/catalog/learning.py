@@ -35,7 +35,7 @@ class Learning:
         table = assemble.create_features(t.log, ALL_TITLES, assemble.STACKED, t.hot)
         self.table = materialize(assemble.with_labels(table, t.labels))
         self.columns = assemble.feature_columns(self.table)
-        self.predict, self.score = holdout.split_last(self.table)
+        self.predict, self.score = map(materialize, holdout.split_last(self.table))
 
     @cached_property
     def train(self):

@@ -100,6 +100,7 @@ def elimination_sweep(train: DataFrame, test: DataFrame, columns: Sequence[str],
                       label: str = "accuracy_group") -> tuple[DataFrame, int]:
     """Hold-out accuracy at each number of features, and the first number with the best one."""
     base = base or (lambda: m.forest(100))
+    train, test = materialize(train), materialize(test)
     rows = []
     for left in eliminate(train, columns, 1, base, label):
         model = base().fit(m.assemble(train, left, label))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.llm.decontaminate import match_benchmark
+from sessionlore.llm.passage_dedup import remove_passages
 from sessionlore.llm.piece_codec import encode_decode
+from sessionlore.llm.token_counts import count_tokens
 from sessionlore.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,31 @@ class Source:
         return self.read("documents", "doc_id", "text")
 
 
+@query("op2_token_counts")
+def token_counts(source: Source) -> DataFrame:
+    found = count_tokens(source.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op5_passage_dedup", """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 48))) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM place),
+low AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS p
+         FROM (SELECT doc_id, i, unnest(range(0, 50)) AS k FROM win JOIN low USING (h) WHERE doc_id > lo)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS body
+         FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+""")
+def passage_dedup(source: Source) -> DataFrame:
+    found = remove_passages(source.documents)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op9_piece_codec")
 def piece_codec(source: Source) -> DataFrame:
     found = encode_decode(source.documents, public_tokenizers.path("piece_bpe_32k.model"))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.llm.decontaminate import match_benchmark
+from sessionlore.llm.line_dedup import mark_lines
 from sessionlore.llm.passage_dedup import remove_passages
 from sessionlore.llm.piece_codec import encode_decode
+from sessionlore.llm.secret_scan import BASE, RULES, scan, spans_text
 from sessionlore.llm.token_counts import count_tokens
 from sessionlore.session import prepare
 
@@ -53,6 +55,60 @@ def token_counts(source: Source) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def _spans_sql(order: int, rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, m, g, v FROM (SELECT doc_id,
+        list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS m,
+        list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) AS g,
+        list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x)) AS v FROM d)"""
+
+
+def _secrets_sql() -> str:
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(RULES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))}),
+each AS (SELECT doc_id, o, kind, m, g, v, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (SELECT doc_id, o, kind, (list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0))::BIGINT AS a, m[i] AS size
+           FROM each WHERE v[i] >= CASE o {least} END),
+named AS (SELECT doc_id, o, kind, a, kind || ':' || a || ':' || (a + size) AS s FROM placed),
+total AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access,
+                 count(*) FILTER (o = 2) AS n_hex, string_agg(s, ',' ORDER BY a, o) FILTER (o < 3) AS base,
+                 string_agg(s, ',' ORDER BY a, o) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN total ON d.doc_id = total.doc_id"""
+
+
+@query("op7_secret_scan", _secrets_sql())
+def secret_scan(source: Source) -> DataFrame:
+    found = scan(source.documents)
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
+        F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op8_line_dedup", """
+WITH line AS (SELECT doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+              FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i
+                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+shared AS (SELECT k, max(doc_id) AS keeper FROM line WHERE length(k) >= 20
+           GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, x, coalesce(doc_id < keeper, false) AS gone FROM line LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def line_dedup(source: Source) -> DataFrame:
+    found = mark_lines(source.documents)
+    n, kept = F.size("all_lines").cast("long"), F.array_join("kept_lines", "\n")
+    return found.select("row.doc_id", n.alias("n_lines"), (n - F.size("kept_lines")).alias("n_dropped"),
+                        F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_passage_dedup", """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 place AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 48))) AS i FROM d),

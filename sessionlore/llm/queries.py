@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlore.llm.decontaminate import match_benchmark
+from sessionlore.llm.hyperminhash import near_duplicates
 from sessionlore.llm.line_dedup import mark_lines
 from sessionlore.llm.passage_dedup import remove_passages
 from sessionlore.llm.piece_codec import encode_decode
@@ -18,6 +19,7 @@ from sessionlore.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -55,6 +57,31 @@ def token_counts(source: Source) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+COMPONENTS = """
+reach AS (SELECT u AS a, v AS b FROM link UNION SELECT v, u FROM link
+          UNION SELECT reach.a, l.b FROM reach JOIN (SELECT u AS x, v AS b FROM link UNION ALL SELECT v, u FROM link) l
+                ON reach.b = l.x),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)"""
+
+
+@query("op6_hyperminhash", f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")},
+                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT p.doc_id AS u, q.doc_id AS v, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id < q.doc_id
+           GROUP BY ALL),
+link AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+{COMPONENTS}
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, low.b) AS component_id,
+       d.doc_id = least(d.doc_id, low.b) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+""")
+def hyperminhash(source: Source) -> DataFrame:
+    return near_duplicates(source.documents)
+
+
 def _spans_sql(order: int, rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, m, g, v FROM (SELECT doc_id,
@@ -134,9 +161,6 @@ def piece_codec(source: Source) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 @query("op10_decontaminate", f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")},
                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from sessionlore.llm.decontaminate import match_benchmark
 from sessionlore.llm.hyperminhash import near_duplicates
+from sessionlore.llm.language_id import identify, train
 from sessionlore.llm.line_dedup import mark_lines
+from sessionlore.llm.lm_score import score_documents
 from sessionlore.llm.passage_dedup import remove_passages
 from sessionlore.llm.piece_codec import encode_decode
 from sessionlore.llm.secret_scan import BASE, RULES, scan, spans_text
@@ -51,6 +53,19 @@ class Source:
         return self.read("documents", "doc_id", "text")
 
 
+def _held_out(parts: int):
+    """Documents kept away from learning: the remainder of crc32(doc_id as text) is 2."""
+    key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(F.pmod(key, F.lit(parts)) == 2, F.lit(False)).alias("held_out")
+
+
+@query("op1_lm_score")
+def lm_score(source: Source) -> DataFrame:
+    rows = source.read("documents", "doc_id", "text", "lang")
+    found = score_documents(rows, public_tokenizers.path("piece_bpe_32k.model"), learn=~_held_out(7), kind="lang")
+    return found.select("doc_id", _held_out(7), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_token_counts")
 def token_counts(source: Source) -> DataFrame:
     found = count_tokens(source.documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -155,6 +170,13 @@ def passage_dedup(source: Source) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op3_language_id")
+def language_id(source: Source) -> DataFrame:
+    model = train(source.read("documents", "doc_id", "text", "lang").where(~_held_out(4)))
+    return identify(source.documents, model).select(
+        "doc_id", _held_out(4), "lang_pred", "score", "n_words", "n_switches")
+
+
 @query("op9_piece_codec")
 def piece_codec(source: Source) -> DataFrame:
     found = encode_decode(source.documents, public_tokenizers.path("piece_bpe_32k.model"))

@@ -72,6 +72,13 @@ def windows(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * _power(base, len(values))[1][:len(values) - size + 1])
 
 
+def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the values from ``begin`` to ``end`` of each stretch."""
+    base = _BASES[lane][1] | 1
+    sums = _prefix(values, base)
+    return mix((sums[end] - sums[begin]) * _power(base, len(values))[1][begin] + (end - begin).astype(np.uint64))
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """Minimum of every ``size`` consecutive values."""
     out, reach = values, 1

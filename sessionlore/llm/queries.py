@@ -17,6 +17,7 @@ from sessionlore.llm.passage_dedup import remove_passages
 from sessionlore.llm.piece_codec import encode_decode
 from sessionlore.llm.secret_scan import BASE, RULES, scan, spans_text
 from sessionlore.llm.token_counts import count_tokens
+from sessionlore.llm.vector_dedup import link_vectors
 from sessionlore.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,23 @@ reach AS (SELECT u AS a, v AS b FROM link UNION SELECT v, u FROM link
 low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)"""
 
 
+@query("op4_vector_dedup", f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM e
+         WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+               AND len(list_filter(x, lambda y: y <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id < b.vec_id
+         WHERE len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) >= 0.9 * a.n * b.n),
+{COMPONENTS},
+n AS (SELECT a, count(*) AS n FROM (SELECT u AS a FROM link UNION ALL SELECT v FROM link) GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, low.b) AS component_id,
+       e.vec_id = least(e.vec_id, low.b) AS kept
+FROM e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id
+""")
+def vector_dedup(source: Source) -> DataFrame:
+    return link_vectors(source.read("embeddings", "vec_id", "embedding"))
+
+
 @query("op6_hyperminhash", f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")},
                             '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

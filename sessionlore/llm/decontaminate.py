@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.texts import fields, map_texts
+from sessionlore.llm.texts import fields, map_texts, packed
 
 #: Everything that is not a word character becomes a space, A-Z lower case; bytes from 0x80 on are letters.
 _WORDS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32
@@ -198,6 +198,5 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text shares no window with ``benchmark``."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-                         F.col(options.pop("text", "text")).alias("text"))
-    return match_benchmark(marked, benchmark, **options).where("n_hit = 0").select("__row.*")
+    found = match_benchmark(packed(docs, options.pop("text", "text")), benchmark, **options)
+    return found.where("n_hit = 0").select("row.*")

@@ -219,6 +219,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
     return whole.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The row of ``docs`` with the smallest ``doc_id`` of each group of near-duplicates, unchanged.
+
+    Rows without ``doc_id`` stay; of rows that share one a single row stays, the one with the least hash.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ids = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.select("doc_id", F.struct(*columns).alias("row"), F.xxhash64("text").alias("rank"))
+    kept = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "rank").alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
 def _left_apart(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of members of one group in different components, each group in blocks of bounded size."""
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlore.llm.rolling import mix
-from sessionlore.llm.texts import fields, map_texts
+from sessionlore.llm.texts import fields, map_texts, packed
 
 #: Weight rows shared by hashed features.
 FEATURES = 1 << 16
@@ -290,3 +290,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, PREDICTED, lambda texts: predict(shared.value, texts), text)
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is determined; null texts and texts without a letter go."""
+    return identify(packed(docs, text), model).where(F.col("lang_pred") != UNDETERMINED).select("row.*")

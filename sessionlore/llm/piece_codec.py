@@ -15,12 +15,14 @@ from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sessionlore.llm.texts import PairTable, fields, map_texts
 
 MARK = "▁"
 _MARK = MARK.encode()
 ENCODED = fields("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+WITH_IDS = fields("n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>")
 #: Words remembered by a worker before it starts anew.
 REMEMBERED = 400_000
 _NONE = np.int64(1) << 40
@@ -201,24 +203,26 @@ class PieceModel:
         self.learn(set(words))
         return [int(i) for w in words for i in self.words[w].split(",")]
 
-    def digests(self, texts: list[bytes | None]) -> list[list]:
-        """Columns of ``ENCODED``."""
+    def digests(self, texts: list[bytes | None], whole: bool = False) -> list[list]:
+        """Columns of ``ENCODED``, or with ``whole`` those of ``WITH_IDS``."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
             self.odd.clear()
         split = [self.split(t.decode()) if t else [] for t in texts]
         self.learn(set().union(*split))
-        get, odd, counts, ids, decoded = self.words.__getitem__, self.odd, [], [], []
+        get, odd, counts, ids, decoded, arrays = self.words.__getitem__, self.odd, [], [], [], []
         for text, words in zip(texts, split):
             joined = ",".join(map(get, words))
             counts.append(joined.count(",") + 1 if words else 0)
             ids.append(sha256(joined.encode()).hexdigest())
+            if whole:
+                arrays.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
             if odd and not odd.keys().isdisjoint(words):
                 text = self.decode([int(i) for i in joined.split(",")]).encode()
             elif text and _MARK in text:
                 text = text.replace(_MARK, b" ")
             decoded.append(sha256(text or b"").hexdigest())  # else each word decodes to itself
-        return [counts, ids, decoded]
+        return [counts, ids, decoded, arrays] if whole else [counts, ids, decoded]
 
 
 def _characters(content: bytes) -> str:
@@ -251,29 +255,21 @@ def load(path: str) -> PieceModel:
         return _model(file.read())
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = False) -> DataFrame:
     """``docs`` with the ids of each whole text, and of the text decoded from them, as counts and digests.
 
-    The model file, bounded by its vocabulary, is broadcast. Null and empty texts have no ids. Rows stay where
-    they are: no shuffle, memory bounded by a step of texts, the longest text and the remembered words.
+    With ``ids`` the ids themselves come too. The model file, bounded by its vocabulary, is broadcast. Null and
+    empty texts have no ids. Rows stay where they are: no shuffle, memory bounded by a step of texts, the longest
+    text and the remembered words.
     """
     with open(model_path, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
-    return map_texts(docs, ENCODED, lambda texts: _model(content.value).digests(texts), text)
-
-
-def encode_ids(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """``docs`` with the ids themselves in ``ids``."""
-    with open(model_path, "rb") as file:
-        content = docs.sparkSession.sparkContext.broadcast(file.read())
-    return map_texts(docs, fields("ids array<int>"),
-                     lambda texts: [[_model(content.value).encode((t or b"").decode()) for t in texts]], text)
+    return map_texts(docs, WITH_IDS if ids else ENCODED,
+                     lambda texts: _model(content.value).digests(texts, ids), text)
 
 
 def decode_ids(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with the text of ``ids`` in ``decoded``; null for null."""
-    from pyspark.sql import functions as F
-
     with open(model_path, "rb") as file:
         content = rows.sparkSession.sparkContext.broadcast(file.read())
 

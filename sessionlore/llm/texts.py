@@ -52,6 +52,11 @@ def map_texts(rows: DataFrame, fields: T.StructType, compute: Callable[[list], l
     return rows.mapInArrow(run, T.StructType(rows.schema.fields + fields.fields))
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Whole rows in the column ``row`` beside ``text``, so that no column of theirs can clash with new ones."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
 _KINDS = {
     "bigint": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()),
     "boolean": (T.BooleanType(), pa.bool_()), "string": (T.StringType(), pa.string()),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.rolling import Words, mix, sliding_min, starts, windows
+from sessionlore.llm.rolling import Words, mix, sliding_min, starts, stretches, windows
 from sessionlore.llm.texts import fields, raw, steps
 
 STEP = 1 << 20
@@ -50,45 +50,78 @@ def _anchor_rows(size, group):
     return run
 
 
-def _window_rows(size, group):
+def _run_rows(size, group):
+    """Runs of consecutive windows with one anchor, where that anchor is asked for."""
+
     def run(batches):
         for batch in steps(batches, "text", STEP):
-            texts = raw(batch, "text")
-            words = Words(texts)
+            words = Words(raw(batch, "text"))
             at, owner, found, hashes = _anchors(words, size, group)
             asked = batch.column("anchors")
             of = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
             values = asked.flatten().to_numpy(zero_copy_only=False)
-            # (text, anchor) pairs asked for, found by one search over both
-            pair = lambda t, a: (a.view(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(1)))
+            pair = lambda t, a: a.view(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(1))
             hit = np.flatnonzero(np.isin(pair(owner, found), pair(of, values)))
             if not len(hit):
                 continue
-            at, owner = at[hit], owner[hit]
-            first = windows(hashes, size)[at].view(np.int64)
-            second = (windows(words.hashes(1), size, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            place = (at - words.first[owner]) << _TEXT_BITS | _marks(words)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first), pa.array(second), batch.column("doc_id").take(pa.array(owner)), pa.array(place)],
-                names=["a", "b", "doc_id", "place"])
+            new = np.append(True, (np.diff(at[hit]) != 1) | (np.diff(owner[hit]) != 0) | (np.diff(found[hit]) != 0))
+            head = np.flatnonzero(new)
+            many = np.diff(np.append(head, len(hit)))
+            begin, owner = at[hit][head], owner[hit][head]
+            yield _rows(batch, words, owner, begin, begin + many - 1 + size, many, hashes)
 
     return run
 
 
+def _window_rows(size):
+    """Every window of the runs that are asked for."""
+
+    def run(batches):
+        for batch in steps(batches, "text", STEP):
+            words = Words(raw(batch, "text"))
+            marks, asked = _marks(words), batch.column("runs")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            place = asked.flatten().field("place").to_numpy(zero_copy_only=False)
+            many = asked.flatten().field("many").to_numpy(zero_copy_only=False).astype(np.int64)
+            own = (place & ((1 << _TEXT_BITS) - 1)) == marks[of]
+            of, begin, many = of[own], words.first[of[own]] + (place[own] >> _TEXT_BITS), many[own]
+            if not len(many):
+                continue
+            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            begin, owner = np.repeat(begin, many) + inner, np.repeat(of, many)
+            yield _rows(batch, words, owner, begin, begin + size, np.ones(len(begin), np.int64), words.hashes())
+
+    return run
+
+
+_ROWS = "a long, b int, doc_id long, place long, many int"
+
+
+def _rows(batch, words, owner, begin, end, many, hashes):
+    first = stretches(hashes, begin, end).view(np.int64)
+    second = (stretches(words.hashes(1), begin, end, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    place = (begin - words.first[owner]) << _TEXT_BITS | _marks(words)[owner]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(first), pa.array(second), batch.column("doc_id").take(pa.array(owner)), pa.array(place),
+         pa.array(many.astype(np.int32))], names=["a", "b", "doc_id", "place", "many"])
+
+
 def _remove(size):
     def compute(batch):
         texts = raw(batch, "text")
         words = Words(texts)
         marks = _marks(words)
         out = [[], [], [], [], []]
-        for i, (text, places) in enumerate(zip(texts, batch.column("places").to_pylist())):
+        for i, (text, runs) in enumerate(zip(texts, batch.column("runs"))):
             own = (text or b"").split()
             covered = np.zeros(len(own) + 1, np.int64)
-            if places:
-                places = np.array(places, np.int64)
-                at = places[(places & ((1 << _TEXT_BITS) - 1)) == marks[i]] >> _TEXT_BITS
+            if runs.is_valid:
+                place = runs.values.field("place").to_numpy(zero_copy_only=False)
+                many = runs.values.field("many").to_numpy(zero_copy_only=False)
+                mine = (place & ((1 << _TEXT_BITS) - 1)) == marks[i]
+                at = place[mine] >> _TEXT_BITS
                 np.add.at(covered, at, 1)
-                np.add.at(covered, at + size, -1)
+                np.add.at(covered, at + many[mine] - 1 + size, -1)
             gone = np.cumsum(covered)[:-1] > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             out[0].append(len(own))
@@ -104,6 +137,10 @@ def _remove(size):
     return compute
 
 
+def _listed(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("place", "many")).alias("runs"))
+
+
 def remove_passages(docs: DataFrame, *, size: int = 50) -> DataFrame:
     """``doc_id`` and ``REMOVED`` for each row of ``docs`` (``doc_id``, ``text``; other columns are not read).
 
@@ -114,24 +151,29 @@ def remove_passages(docs: DataFrame, *, size: int = 50) -> DataFrame:
     Null texts have no words. Rows without ``doc_id`` lose nothing and make no other row lose anything. Rows
     that share a ``doc_id`` never remove each other's words. An empty table gives no rows.
 
-    Anchors and windows are counted by map-side combined aggregates and joined on the hash, which adaptive
-    execution splits where one hash is hot; windows match on 96 bits. The texts are shuffled once, by
-    ``doc_id``, for both the windows and the result.
+    Consecutive windows with one anchor are first counted as one run; only the first document of each distinct
+    run goes on to the count of single windows, since the others have the same windows as it. Counts are map-side
+    combined aggregates, joined back on the hash, which adaptive execution splits where one hash is hot; hashes
+    have 96 bits. The texts are shuffled once, by ``doc_id``, for runs, windows and result.
     """
     group = max(1, min(12, size))
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select("doc_id", "text")
     known = rows.where("doc_id IS NOT NULL")
     found = known.mapInArrow(_anchor_rows(size, group), "anchor long, doc_id long")
     repeated = (found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 .where("lo < hi").select("anchor"))
     asked = found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    seen = known.join(asked, "doc_id").mapInArrow(_window_rows(size, group), "a long, b int, doc_id long, place long")
-    first = (seen.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-             .where("lo < hi").select("a", "b", "lo"))
-    later = seen.join(first, ["a", "b"]).where("doc_id > lo")
-    places = later.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    alone = rows.where("doc_id IS NULL").withColumn("places", F.lit(None).cast("array<long>"))
-    both = known.join(places, "doc_id", "left").unionByName(alone)
+    runs = known.join(asked, "doc_id").mapInArrow(_run_rows(size, group), _ROWS)
+    first = runs.groupBy("a", "b").agg(F.min("doc_id").alias("lo"))
+    ranked = runs.join(first, ["a", "b"])
+    chosen = _listed(ranked.where("doc_id = lo"))
+    single = known.join(chosen, "doc_id").mapInArrow(_window_rows(size), _ROWS)
+    low = (single.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+           .where("lo < hi").select("a", "b", "lo"))
+    later = single.join(low, ["a", "b"]).where("doc_id > lo")
+    gone = _listed(ranked.where("doc_id > lo").select(later.columns).unionByName(later))
+    alone = rows.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<place:long,many:int>>"))
+    both = known.join(gone, "doc_id", "left").unionByName(alone)
     compute = _remove(size)
 
     def run(batches):

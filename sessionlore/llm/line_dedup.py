@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlore.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -35,8 +37,8 @@ def drop_bitmaps(docs: DataFrame, *, least_length: int = 20, least_documents: in
             .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines(F.col("text"))))
             .select("doc_id", "text_hash", "pos", line_key(F.col("col")).alias("key"))
             .where(F.length("key") >= least_length))
-    hashed = each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id",
-                         "text_hash", "pos")
+    hashed = materialize(each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id",
+                                     "text_hash", "pos"))  # ranges are drawn from it, then it is read twice
     ordered = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     first = ordered.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))  # in the order of the range
     shared = (first.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper"))

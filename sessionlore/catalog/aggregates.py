@@ -154,10 +154,12 @@ def agg_proportion(t):
 
 @query("agg_describe", " UNION ALL ".join(f"""
 SELECT '{x}' AS "column", count({x}) AS "count", round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std,
-       min({x}) AS "min", round(quantile_cont({x}, 0.25), 4) AS q25, round(quantile_cont({x}, 0.5), 4) AS q50,
-       round(quantile_cont({x}, 0.75), 4) AS q75, max({x}) AS "max" FROM lineitem""" for x in NUMERIC))
+       min({x})::DOUBLE AS "min", round(quantile_cont({x}, 0.25), 4) AS q25, round(quantile_cont({x}, 0.5), 4) AS q50,
+       round(quantile_cont({x}, 0.75), 4) AS q75, max({x})::DOUBLE AS "max" FROM lineitem"""
+                                       for x in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMERIC]))
 def agg_describe(t):
-    return rounded(st.describe(t["lineitem"], NUMERIC), 4)
+    """All numeric columns of the table."""
+    return rounded(st.describe(t["lineitem"]), 4)
 
 
 @query("agg_corr", " UNION ALL ".join(f"""

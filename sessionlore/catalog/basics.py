@@ -66,6 +66,17 @@ def sink_submission(t):
     return files.read_csv(t.spark, path, "installation_id long, accuracy_group int")
 
 
+@query("src_labels", with_(ASSESS, f"SELECT {PAIR}, ag AS accuracy_group FROM assess"))
+def src_labels(t):
+    """A label file with more columns, in another order, of which three are picked by name."""
+    path = t.scratch()
+    t.written_assessments.select(
+        F.lit(0).alias("num_attempts"), "accuracy_group", "game_session", F.lit("a, b").alias("title"), "installation_id",
+    ).write.option("header", True).option("escape", '"').csv(path)
+    labels = files.read_labels(t.spark, path)
+    return labels.select(*[F.col(k).cast("long").alias(k) for k in KEYS], "accuracy_group")
+
+
 @query("src_ids", with_(GAME, f"SELECT DISTINCT {PAIR} FROM game"))
 def src_ids(t):
     return files.key_pairs(t.log)

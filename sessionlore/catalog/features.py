@@ -422,23 +422,37 @@ def f_overall_title(t):
     return near(f.overall_title(t.written_assessments))
 
 
-@query("f_json_wide", """
-SELECT 'event_id' AS "column", count(event_id) AS "count", round(avg(event_id), 4) AS mean,
-       round(stddev_samp(event_id), 4) AS std, CAST(min(event_id) AS DOUBLE) AS "min",
-       round(quantile_cont(event_id, 0.25), 4) AS q25, round(quantile_cont(event_id, 0.5), 4) AS q50,
-       round(quantile_cont(event_id, 0.75), 4) AS q75, CAST(max(event_id) AS DOUBLE) AS "max" FROM events
-UNION ALL
-SELECT 'value', count(value), round(avg(value), 4), round(stddev_samp(value), 4), min(value),
-       round(quantile_cont(value, 0.25), 4), round(quantile_cont(value, 0.5), 4),
-       round(quantile_cont(value, 0.75), 4), max(value) FROM events
-UNION ALL
-SELECT 'k', count(k), round(avg(k), 4), round(stddev_samp(k), 4), CAST(min(k) AS DOUBLE),
-       round(quantile_cont(k, 0.25), 4), round(quantile_cont(k, 0.5), 4), round(quantile_cont(k, 0.75), 4),
-       CAST(max(k) AS DOUBLE)
-FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""")
+_WIDE = "(SELECT * EXCLUDE (props), CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+@query("f_json_wide", " UNION ALL ".join(f"""
+SELECT '{x}' AS "column", count({x}) AS "count", round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std,
+       CAST(min({x}) AS DOUBLE) AS "min", round(quantile_cont({x}, 0.25), 4) AS q25,
+       round(quantile_cont({x}, 0.5), 4) AS q50, round(quantile_cont({x}, 0.75), 4) AS q75,
+       CAST(max({x}) AS DOUBLE) AS "max" FROM {_WIDE}""" for x in ["event_id", "user_id", "value", "k"]))
 def f_json_wide(t):
+    """Summary of all numeric columns of the wide log."""
+    return rounded(describe(json_unnest(t["events"], "props")), 4)
+
+
+@query("f_json_wide_table", f"SELECT event_id, epoch_us(ts) AS at_us, user_id, event_type, value, k FROM {_WIDE}")
+def f_json_wide_table(t):
+    """The wide log itself: a column per key of the JSON objects."""
     wide = json_unnest(t["events"], "props")
-    return rounded(describe(wide, ["event_id", "value", "k"]), 4)
+    return wide.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts", "props")
+
+
+@query("json_unnest_clash", """
+SELECT event_id, user_id, value, event_id * 2 AS json_event_id, event_type AS "AVOIDED", user_id AS "A", value > 40 AS json_a
+FROM events""")
+def json_unnest_clash(t):
+    """Keys that name a column, differ in case only, or hold a type's name."""
+    made = F.to_json(F.struct((F.col("event_id") * 2).alias("event_id"), F.col("event_type").alias("AVOIDED"),
+                              (F.col("value") > 40).alias("a"), F.col("user_id").alias("A")))
+    rows = t["events"].select("event_id", "user_id", "value", made.alias("body"))
+    found = json_unnest(rows, "body").drop("body")
+    return found.select([c for c in ("event_id", "user_id", "value", "json_event_id", "AVOIDED")] + [
+        F.col(c) for c in found.columns if c.lower() in ("a", "json_a")])
 
 
 # ---- assembled tables -------------------------------------------------------------------------

@@ -144,13 +144,13 @@ def sel_corr_table(t):
 @query("sel_rfe")
 def sel_rfe(t):
     data = Learning(t)
-    return e.elimination_table(data.score, data.columns[:8], 3, lambda: m.forest(5, 4))
+    return e.elimination_table(data.score, data.columns, 3, lambda: m.forest(5, 4))
 
 
 @query("sel_rfe_sweep")
 def sel_rfe_sweep(t):
     data = Learning(t)
-    return e.elimination_sweep(data.score, data.predict, data.columns[:5], lambda: m.forest(5, 4))[0]
+    return e.elimination_sweep(data.score, data.predict, data.columns, lambda: m.forest(5, 4))[0]
 
 
 @query("feat_importance")
@@ -327,9 +327,7 @@ def tune_random_search(t):
 def ev_permutation(t):
     data = Learning(t)
     model = m.forest(5, 5).fit(data.train)
-    columns = data.columns
-    top = [name for name, _ in m.importances(model, columns)[:5]]
-    return e.permutation_importance(model, data.predict, columns, KEYS, only=top)
+    return e.permutation_importance(model, data.predict, data.columns, KEYS)
 
 
 # ---- agreement --------------------------------------------------------------------------------

@@ -19,7 +19,8 @@ from sessionlore.session import materialize
 
 HOT_ROWS_SETTING = "spark.sessionlore.hotRows"
 HOT_ROWS = 4_000_000
-MOST_HOT_KEYS = 2_000
+#: Rows of a block where a caller names no number of blocks.
+ROWS_PER_BLOCK = 2_000_000
 
 CURRENT, PREVIOUS = 0, -1
 
@@ -270,9 +271,8 @@ class Blocks:
     """Histories cut into ranges of their order.
 
     Range partitioning on (key, order) puts at most about ``1/parts`` of the rows in one block,
-    however they are spread over keys. The states are one row per (key, block): at most ``parts``
-    plus the number of keys, so joining them back as a broadcast is bounded as long as the keys
-    are (hot keys are at most ``MOST_HOT_KEYS``).
+    however they are spread over keys. Without a number of parts the rows are written and counted
+    first. The states are one row per (key, block), joined back in the way their size allows.
     """
 
     def __init__(self, parts: int | None = None):
@@ -282,7 +282,10 @@ class Blocks:
              values: dict[str, Running]) -> DataFrame:
         if not values:
             return df
-        parts = self.parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = self.parts
+        if parts is None:
+            df = materialize(df)
+            parts = max(1, math.ceil(df.count() / ROWS_PER_BLOCK))
         keys, order = list(keys), list(order)
         cut = materialize(
             df.repartitionByRange(parts, *keys, *order).withColumn("_block", F.spark_partition_id())
@@ -312,13 +315,20 @@ class Blocks:
             )
         states_of = cut.groupBy(*keys, "_block").agg(*states).withColumns(overalls)
         earlier = states_of.select(*keys, "_block", *carries)
-        joined = cut.withColumns(locals_).join(F.broadcast(earlier), [*keys, "_block"])
+        joined = _join_keys(cut.withColumns(locals_), earlier, [*keys, "_block"])
         kept = [c for c in df.columns if c not in results]
         return joined.select(*kept, *[column.alias(name) for name, column in results.items()])
 
     def attach(self, df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
         totals = df.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()])
-        return df.join(F.broadcast(totals), list(keys))
+        return _join_keys(df, totals, list(keys))
+
+
+def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, null being equal to null."""
+    other = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(other, same or F.lit(True)).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 History = Whole | Blocks
@@ -326,7 +336,9 @@ History = Whole | Blocks
 
 @dataclass(frozen=True)
 class HotKeys:
-    values: tuple = ()
+    """The hot keys as a table with the column ``_hot``, and the rows that they have."""
+
+    table: DataFrame | None = None
     rows: int = 0
     limit: int = HOT_ROWS
 
@@ -334,23 +346,21 @@ class HotKeys:
     def parts(self) -> int:
         return max(2, math.ceil(2 * self.rows / self.limit))
 
+    @property
+    def values(self) -> tuple:
+        return tuple(r[0] for r in self.table.collect()) if self.table else ()
+
 
 def hot_keys(df: DataFrame, key: str, weight: Column | None = None) -> HotKeys:
-    """Keys with more rows than one task should hold; the largest ``MOST_HOT_KEYS`` of them.
+    """Keys with more rows than one task should hold, null among them.
 
-    Any key left out holds at most one part in ``MOST_HOT_KEYS`` of all rows. ``weight`` is the
-    number of rows a row of ``df`` stands for.
+    ``weight`` is the number of rows a row of ``df`` stands for.
     """
     limit = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    found = (
-        df.groupBy(key).agg(rows.alias("rows"))
-        .where(F.col("rows") > limit)
-        .orderBy(F.desc("rows"), key)
-        .limit(MOST_HOT_KEYS)
-        .collect()
-    )
-    return HotKeys(tuple(r[0] for r in found), sum(r[1] for r in found), limit)
+    found = df.groupBy(F.col(key).alias("_hot")).agg(rows.alias("rows")).where(F.col("rows") > limit)
+    total = found.agg(F.sum("rows")).first()[0]
+    return HotKeys(materialize(found).select("_hot"), total, limit) if total else HotKeys(limit=limit)
 
 
 def by_history(tables: DataFrame | Sequence[DataFrame], key: str,
@@ -359,8 +369,8 @@ def by_history(tables: DataFrame | Sequence[DataFrame], key: str,
     in blocks. All tables carry ``key``; the hot keys are looked for in the first."""
     tables = [tables] if isinstance(tables, DataFrame) else list(tables)
     hot = hot_keys(tables[0], key) if hot is None else hot
-    if not hot.values:
+    if hot.table is None:
         return build(*tables, Whole())
-    is_hot = F.coalesce(F.col(key).isin(*hot.values), F.lit(False))
-    cold = build(*[t.where(~is_hot) for t in tables], Whole())
-    return cold.unionByName(build(*[t.where(is_hot) for t in tables], Blocks(hot.parts)))
+    is_hot = F.col(key).eqNullSafe(F.col("_hot"))
+    cold = build(*[t.join(hot.table, is_hot, "left_anti") for t in tables], Whole())
+    return cold.unionByName(build(*[t.join(hot.table, is_hot, "left_semi") for t in tables], Blocks(hot.parts)))

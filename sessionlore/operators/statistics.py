@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlore.functions.scalars import clip, fisher_z, inverse_fisher_z
 from sessionlore.operators.history import Blocks, Total
@@ -48,12 +49,18 @@ def weighted_vote(predictions: DataFrame, keys: Sequence[str], column: str = "pr
     return sums.groupBy(*keys).agg((-best["p"]).cast("int").alias(column))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max per numeric column, quartiles interpolated.
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max per column, of all numeric ones if none are named; quartiles
+    are interpolated.
 
     Values are counted first, then a running count over all distinct values gives the ranks: no
     task sees a whole column.
     """
+    columns = numeric_columns(df) if columns is None else columns
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "column", "value")
     long = long.where(F.col("value").isNotNull())
     moments = long.groupBy("column").agg(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlore.functions.catalogue import KEYS, PLAYER, SESSION
 
@@ -76,17 +78,63 @@ def require_columns(table: DataFrame, expected: Sequence[str]) -> DataFrame:
     return table
 
 
-def object_schema(df: DataFrame, column: str) -> str:
-    """The DDL of the union of keys of a JSON object column."""
+def object_schema(df: DataFrame, column: str) -> T.StructType:
+    """The union of the keys of a JSON object column, each with its type; keys that are only null are text."""
     parsed = F.schema_of_variant_agg(F.try_parse_json(F.col(column)))
     found = df.agg(parsed.alias("s")).first()["s"]
     if not found.startswith("OBJECT<"):
         raise ValueError(f"{column} holds no JSON objects: {found}")
-    return found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-
-
-def json_unnest(df: DataFrame, column: str, schema: str | None = None) -> DataFrame:
-    """The table with a column per JSON key; a key missing in a row gives null."""
+    return _object_fields(found, len("OBJECT<"))[0]
+
+
+def _object_fields(text: str, at: int) -> tuple[T.StructType, int]:
+    """Fields from ``name: type, ...>``; names that hold other characters than word ones stand in backticks."""
+    fields = []
+    while text[at] != ">":
+        if text[at] == "`":
+            end = at + 1
+            while text[end] != "`" or text[end + 1] == "`":
+                end += 2 if text[end] == "`" else 1
+            name, at = text[at + 1:end].replace("``", "`"), end + 1
+        else:
+            end = text.index(":", at)
+            name, at = text[at:end], end
+        kind, at = _object_type(text, at + len(": "))
+        fields.append(T.StructField(name, kind))
+        at += len(", ") if text.startswith(", ", at) else 0
+    return T.StructType(fields), at + 1
+
+
+def _object_type(text: str, at: int) -> tuple[T.DataType, int]:
+    if text.startswith("OBJECT<", at):
+        return _object_fields(text, at + len("OBJECT<"))
+    if text.startswith("ARRAY<", at):
+        inner, at = _object_type(text, at + len("ARRAY<"))
+        return T.ArrayType(inner), at + 1
+    simple = re.match(r"[A-Z_]+(\([0-9, ]+\))?", text[at:])[0]
+    kind = T.StringType() if simple in ("VOID", "VARIANT") else T.DataType.fromDDL(simple)
+    return kind, at + len(simple)
+
+
+def json_unnest(df: DataFrame, column: str, schema: T.StructType | str | None = None, prefix: str = "json_") -> DataFrame:
+    """The table with a column per JSON key; a key missing in a row gives null.
+
+    A key that names a column of the table, or an earlier key, in whatever case, gets ``prefix`` before it, as
+    often as it takes.
+    """
     schema = schema or object_schema(df, column)
-    parsed = df.withColumn("_json", F.from_json(column, schema))
-    return parsed.select(*df.columns, "_json.*")
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    taken, columns, layers = {c.lower() for c in df.columns}, [], []
+    for field in schema:
+        new = field.name
+        while new.lower() in taken:
+            new = prefix + new
+        taken.add(new.lower())
+        # Keys that differ in case only are read by schemas of their own.
+        layer = next((k for k, names in enumerate(layers) if field.name.lower() not in names), len(layers))
+        layers[layer:layer + 1] = [(layers[layer] if layer < len(layers) else {}) | {field.name.lower(): field}]
+        columns.append((layer, field.name, new))
+    parsed = df.withColumns({
+        f"_json{k}": F.from_json(column, T.StructType(list(names.values()))) for k, names in enumerate(layers)})
+    return parsed.select(*[F.col(f"`{c}`") for c in df.columns], *[
+        F.col(f"_json{layer}").getField(name).alias(new) for layer, name, new in columns])

@@ -262,7 +262,7 @@ def predict(model: Model, texts: list[bytes | None]) -> list[list]:
     found = posteriors(model.emit(split), model.transitions, lengths)
     owner = np.repeat(np.arange(n), lengths)
     share = np.stack([np.bincount(owner, found[:, k], n) for k in range(found.shape[1])], 1)
-    share /= np.maximum(lengths, 1)[:, None]
+    share = share / np.maximum(lengths, 1)[:, None]
     best, label = share.argmax(1), found.argmax(1)
     switch = (label[1:] != label[:-1]) & (owner[1:] == owner[:-1])
     switches = np.bincount(owner[1:][switch], minlength=n) if len(owner) else np.zeros(n, np.int64)

@@ -106,18 +106,18 @@ def correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame
 def _range(cells: DataFrame, columns: Sequence[str], lowest: int | None, highest: int | None) -> tuple[int, int]:
     ends = [f(c) for c in columns for f in (F.min, F.max)]
     found = [v for v in cells.agg(*ends).first() if v is not None]
-    return (min(found) if lowest is None else lowest), (max(found) if highest is None else highest)
+    low, high = [v for v in (lowest, *found) if v is not None], [v for v in (highest, *found) if v is not None]
+    return min(low, default=0), max(high, default=0)
 
 
 def confusion(df: DataFrame, a: str, b: str, lowest: int | None = None, highest: int | None = None) -> DataFrame:
-    """Counts for every pair of ratings in the range, zeros kept."""
+    """Counts for every pair of ratings in the range, zeros kept; ratings outside a given range widen it."""
     counts = df.groupBy(F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    if lowest is None or highest is None:
-        # The few cells are written, so that their range does not cost another pass over the data.
-        counts = materialize(counts)
-        lowest, highest = _range(counts, ["a", "b"], lowest, highest)
+    # The few cells are written, so that their range does not cost another pass over the data.
+    counts = materialize(counts)
+    lowest, highest = _range(counts, ["a", "b"], lowest, highest)
     ratings = F.sequence(F.lit(lowest), F.lit(highest))
     grid = df.sparkSession.range(1).select(F.explode(ratings).alias("a")).select(
         "a", F.explode(ratings).alias("b")
@@ -127,9 +127,8 @@ def confusion(df: DataFrame, a: str, b: str, lowest: int | None = None, highest:
 
 def histogram(df: DataFrame, rating: str, lowest: int | None = None, highest: int | None = None) -> DataFrame:
     counts = df.groupBy(F.col(rating).cast("int").alias("rating")).agg(F.count(F.lit(1)).alias("n"))
-    if lowest is None or highest is None:
-        counts = materialize(counts)
-        lowest, highest = _range(counts, ["rating"], lowest, highest)
+    counts = materialize(counts)
+    lowest, highest = _range(counts, ["rating"], lowest, highest)
     grid = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(lowest), F.lit(highest))).alias("rating"))
     return grid.join(counts, "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -56,10 +56,10 @@ def short_titles(titles: Sequence[str]) -> list[str]:
     return sorted({t.rstrip(tail) for t in titles if t.endswith(tail)})
 
 
-def known_values(df: DataFrame, column: str, most: int = 10_000) -> list:
-    """The distinct values of a column that is to become columns; an error above ``most``."""
-    rows = df.select(column).distinct().limit(most + 1).collect()
-    if len(rows) > most:
+def known_values(df: DataFrame, column: str, most: int | None = None) -> list:
+    """The distinct values of a column that is to become columns; an error above ``most``, if given."""
+    rows = df.select(column).distinct().collect()
+    if most is not None and len(rows) > most:
         raise ValueError(f"{column} has more than {most} values")
     return sorted(r[0] for r in rows if r[0] is not None)
 

@@ -194,7 +194,7 @@ def tree_sweep(train: DataFrame, test: DataFrame, numbers: Sequence[int], depth:
 SEARCH_GRID = {
     "numTrees": list(range(200, 2001, 200)),
     "featureSubsetStrategy": ["auto", "sqrt"],
-    "maxDepth": [10, 20, m.DEEPEST],
+    "maxDepth": [10, 20, 30, *[m.DEEPEST] * 9],  # 40 to 110 and no limit are beyond the trainer: its deepest
     "minInstancesPerNode": [1, 2, 4],
     "bootstrap": [True, False],
 }

@@ -24,16 +24,17 @@ from sessionlore.operators.nearest import nearest
 from sessionlore.session import materialize
 
 FEATURES, LABEL = "features", "label"
-DEEPEST = 30  # limit of the tree trainer; settings without limit or above it are cut to it
+DEEPEST = 30  # limit of the tree trainer, which stands for "no limit"; a deeper setting is an error
 
-# Recorded settings of the forests: number of trees and what else was set.
+# Recorded settings of the forests: number of trees and what else was set. The tuned depth of 80 is beyond the
+# trainer and taken as no limit.
 FOREST_SETTINGS = {
     "holdout": {"numTrees": 1000},
     "bake_off": {"numTrees": 83},
     "selection": {"numTrees": 50},
     "small": {"numTrees": 33},
     "bagged": {"numTrees": 10_000, "maxDepth": 6},
-    "tuned": {"numTrees": 1400, "maxDepth": 80, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt"},
+    "tuned": {"numTrees": 1400, "maxDepth": None, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt"},
 }
 
 
@@ -44,13 +45,20 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str = "accuracy_group
     return out.withColumn(LABEL, F.col(label).cast("double")) if label in df.columns else out
 
 
+def _depth(depth: int | None) -> int:
+    """A depth that the trainer can reach; ``None`` for no limit."""
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"depth {depth} is above the trainer's limit of {DEEPEST}")
+    return DEEPEST if depth is None else depth
+
+
 def forest(trees: int = 100, depth: int = DEEPEST, seed: int = 42, **more) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, DEEPEST), seed=seed, **more)
+    return RandomForestClassifier(numTrees=trees, maxDepth=_depth(depth), seed=seed, **more)
 
 
 def forest_of(name: str, seed: int = 42) -> RandomForestClassifier:
     settings = dict(FOREST_SETTINGS[name])
-    return forest(settings.pop("numTrees"), settings.pop("maxDepth", DEEPEST), seed, **settings)
+    return forest(settings.pop("numTrees"), settings.pop("maxDepth", None), seed, **settings)
 
 
 def boosted_multi(rounds: int = 100, depth: int = 3, seed: int = 42) -> OneVsRest:
@@ -88,10 +96,8 @@ def network(inputs: int, classes: int, hidden: Sequence[int] = (100,), iteration
     return Pipeline(stages=[scaler, net])
 
 
-def classes_of(df: DataFrame, label: str = LABEL, most: int = 1_000) -> list[float]:
-    rows = df.select(label).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} classes")
+def classes_of(df: DataFrame, label: str = LABEL) -> list[float]:
+    rows = df.select(label).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

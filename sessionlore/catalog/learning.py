@@ -16,12 +16,12 @@ from sessionlore.functions.catalogue import KEYS, PLAYER
 from sessionlore.operators import statistics as st
 from sessionlore.operators.nearest import nearest
 from sessionlore.operators.sampling import rebalance
-from sessionlore.operators.tables import keep_right
 from sessionlore.plans import assemble, holdout
 from sessionlore.plans import ensembles as e
 from sessionlore.plans import features as f
 from sessionlore.plans import models as m
 from sessionlore.session import materialize
+from sessionlore.sources import files
 from sessionlore.sources.play_view import ALL_TITLES
 
 PAIR = "installation_id, game_session"
@@ -440,11 +440,25 @@ def ev_improvement(t):
 
 @query("job_bagged")
 def job_bagged(t):
-    """Entry 2: rich features, correlated columns, bagged vote, submission."""
+    """Entry 2: rich features, correlated columns, bagged vote over the earlier assessments, submission file."""
     table = assemble.create_features(t.log, ALL_TITLES, assemble.RICH, t.hot)
     final = materialize(assemble.with_labels(table, t.labels))
-    columns = e.correlated_columns(final, assemble.feature_columns(final), "accuracy_group")
-    test = keep_right(table, holdout.last_assessment(t.assessments))
-    voted = e.bagged_vote(final, test, KEYS, columns, rounds=2, base=lambda: m.forest(5, 4))
-    return voted.select(PLAYER, F.col("prediction").alias("accuracy_group"))
+    ids = holdout.last_assessment(t.assessments)
+    last, earlier = (materialize(final.join(ids, KEYS, how)) for how in ("left_semi", "left_anti"))
+    columns = e.correlated_columns(earlier, assemble.feature_columns(earlier), "accuracy_group")
+    voted = e.bagged_vote(earlier, last, KEYS, columns, rounds=2, base=lambda: m.forest(5, 4))
+    return _submitted(t, voted)
 
+
+def _submitted(t, predictions):
+    """The submission file of predictions, read again."""
+    path = t.scratch()
+    files.write_submission(predictions, path, "prediction")
+    return files.read_csv(t.spark, path, "installation_id long, accuracy_group int")
+
+
+@query("job_holdout")
+def job_holdout(t):
+    """Entry 1: the basic features of each player's earlier assessments, one forest, the last ones predicted."""
+    data = Learning(t)
+    return _submitted(t, data.predictions(m.forest(10, 6)))

@@ -293,5 +293,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is determined; null texts and texts without a letter go."""
-    return identify(packed(docs, text), model).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """The rows of ``docs``, unchanged, but for those that no language can be told of: null texts and texts without a letter."""
+    return identify(packed(docs, text), model).where("n_words > 0").select("row.*")

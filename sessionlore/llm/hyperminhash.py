@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.linking import components
+from sessionlore.llm.linking import components, join_split
 from sessionlore.llm.rolling import Words, mix, stretches
 from sessionlore.llm.texts import raw, steps
 from sessionlore.session import materialize
@@ -62,15 +62,18 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 _PROBES = np.array([np.random.default_rng(i).permutation(BUCKETS) for i in range(BUCKETS)])
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """Hashes of the bands; an empty register borrows from the next filled one in an order of its own."""
-    if (sketch == _EMPTY).any():
-        filled = sketch != _EMPTY
-        sketch = np.where(filled, sketch, sketch[_PROBES[np.arange(BUCKETS), filled[_PROBES].argmax(1)]])
-    bands = sketch[:BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of sketches in rows; an empty register borrows from the next filled one in its own order."""
+    sketches = sketches.copy()
+    gaps = np.flatnonzero((sketches == _EMPTY).any(1))
+    for part in np.array_split(gaps, len(gaps) // 500 + 1):
+        filled = sketches[part] != _EMPTY
+        source = _PROBES[np.arange(BUCKETS), filled[:, _PROBES].argmax(2)]
+        sketches[part] = np.where(filled, sketches[part], np.take_along_axis(sketches[part], source, 1))
+    bands = sketches[:, :BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
     for k in range(BAND):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
     return keys.view(np.int64)
 
 
@@ -98,13 +101,16 @@ def _sketch_rows(size):
     return run
 
 
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def _band_rows(batches):
     for batch in batches:
-        keys = [band_keys(np.frombuffer(s, np.uint16)) for s in batch.column("sketch").to_pylist()]
-        if keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))],
-                names=["key", "node"])
+        if batch.num_rows:
+            keys = band_keys(_matrix(batch.column("sketch"))).ravel()
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node").take(owner)], names=["key", "node"])
 
 
 def _confirm(size, percent):
@@ -113,9 +119,8 @@ def _confirm(size, percent):
     def run(batches):
         for batch in batches:
             for part in steps([batch], "text_u", STEP):
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-                        for c in ("sketch_u", "sketch_v"))
-                likely = _likely(a, b, part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
+                a, b = _matrix(part.column("sketch_u")), _matrix(part.column("sketch_v"))
+                likely, _ = _likely(a, b, part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
                 keep = np.flatnonzero(likely)
                 part = part.take(pa.array(keep))
                 good = []
@@ -133,32 +138,83 @@ def _likely(a, b, n_a, n_b, percent):
     found, used = estimate(a, b, n_a, n_b)
     wanted = percent / 100
     close = found >= wanted - _MARGIN * np.sqrt(wanted * (1 - wanted) / np.maximum(used, 1))
-    return close & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    return close & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)), found
+
+
+#: Pairs that are looked at in one step.
+_SLAB = 50_000
+
 
+def _block_pairs(percent, best):
+    """Likely pairs within sorted candidate groups whose members are not connected yet, with their estimates.
 
-def _block_pairs(percent):
-    """Likely pairs of one candidate group, between two blocks of it, whose members are not connected yet."""
+    With ``best`` each member comes with its best partner only, of those met in one batch of groups.
+    """
 
-    def run(frame):
-        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, BUCKETS)
-        node, part, n, own = (frame[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        one, two = frame["one"].iloc[0], frame["two"].iloc[0]
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        out_u, out_v = [], []
-        for i in left.tolist():
-            other = right[(part[right] != part[i]) & ((node[right] > node[i]) | (one != two))]
-            if len(other):
-                good = other[_likely(sketch[i], sketch[other], n[i], n[other], percent)]
-                out_u.append(np.full(len(good), node[i]))
-                out_v.append(node[good])
-        import pandas as pd
+    def pairs(rows):
+        key, block, node, part, n, two = (rows.column(c).to_numpy() for c in (
+            "key", "block", "node", "component", "n_shingles", "two"))
+        one = rows.column("one").to_numpy()
+        sketch = _matrix(rows.column("sketch"))
+        bands = band_keys(sketch)
+        ends = np.append(_heads(rows)[1:], len(key))
+        after = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(key)) - 1
+        upto = np.cumsum(after)
+        start = 0
+        while start < len(key):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _SLAB, "right")))
+            many = after[start:stop]
+            u = np.repeat(np.arange(start, stop), many)
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(many) - many, many)
+            apart = (part[u] != part[v]) & ((one[u] == two[u]) | (block[u] != block[v]))
+            u, v = u[apart], v[apart]
+            same = bands[u] == bands[v]  # a pair belongs to the first band that it shares
+            first = same.argmax(1) if len(u) else u
+            own = bands[u, first] == key[u]
+            u, v = u[own], v[own]
+            good, found = _likely(sketch[u], sketch[v], n[u], n[v], percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(node[u], node[v])[good]), pa.array(np.maximum(node[u], node[v])[good]),
+                 pa.array(found[good])], names=["u", "v", "near"])
+            start = stop
+
+    def chosen(rows):
+        if not best:
+            yield from pairs(rows)
+            return
+        found = pa.Table.from_batches(pairs(rows))
+        u, v, near = (found.column(c).to_numpy() for c in ("u", "v", "near"))
+        u, v, near = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([near, near])
+        order = np.lexsort((v, near, u))
+        last = order[np.append(u[order][1:] != u[order][:-1], True)] if len(order) else order
+        yield pa.RecordBatch.from_arrays([pa.array(x[last]) for x in (u, v, near)], names=["u", "v", "near"])
 
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"u": np.concatenate([none, *out_u]), "v": np.concatenate([none, *out_v])})
+    def run(batches):
+        held = None  # the last group may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            rows = rows.combine_chunks()
+            last = int(_heads(rows)[-1]) if rows.num_rows else 0
+            if last:
+                yield from chosen(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from chosen(held)
 
     return run
 
 
+def _heads(rows) -> np.ndarray:
+    """First rows of the groups."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "one", "two"):
+        values = rows.column(c).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs`` (``doc_id``, ``text``).
 
@@ -172,8 +228,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
 
     Equal sets are one class, found by a map-side combined aggregate; only its first document goes on. In a
     band's group each member meets a leading member, over two rounds, and connected members need no
-    more comparisons; the pairs of members left apart are compared in blocks by their sketches. Every link is
-    confirmed on the full sets. The texts of candidates are shuffled, not those of all pairs.
+    more comparisons; members left apart are compared in blocks by their sketches, first for the best partner of
+    each, then for all. Every link is confirmed on the full sets. The texts of candidates are shuffled, not those of all pairs.
     """
     found = materialize(docs.select("doc_id", "text").mapInArrow(
         _sketch_rows(size), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"))
@@ -182,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
     classes = materialize(classes)
     bands = classes.select("node", "sketch").mapInArrow(_band_rows, "key long, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = materialize(bands.join(shared, "key"))
+    members = materialize(join_split(bands, shared, "key"))
     asked = members.select("node").distinct()
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
     content = materialize(classes.join(asked, "node").join(known, "node")
@@ -194,18 +250,23 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
         return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_confirm(size, percent), "u long, v long")
 
     links, labels = None, members.select("node", F.col("node").alias("component")).distinct()
-    for turn in range(_ROUNDS + 1):
+    for turn in range(_ROUNDS + 2):
         placed = members.join(labels, "node")
         state = placed.groupBy("key").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
             F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("lo < hi")
-        open_ = placed.join(state, "key")
+        open_ = join_split(placed, state, "key")
         if turn < _ROUNDS:
             met = open_.where("component <> lead.component").groupBy(F.col("node").alias("v"), F.col("lead.node").alias("u")).count()
             pairs = met.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u"))
-        else:
-            pairs = _left_apart(open_, classes, percent)
+        elif turn == _ROUNDS:  # the best partner of each member, which connects what can be connected
+            pairs = _left_apart(open_, classes, percent, True).groupBy("u").agg(F.max_by("v", F.struct("near", "v")).alias("v")).select(
+                F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        else:  # whatever is left
+            pairs = _left_apart(open_, classes, percent, False).select("u", "v")
         new = materialize(confirmed(pairs))
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
         grouped = components(links)
         labels = materialize(members.select("node").distinct().join(grouped, "node", "left")
@@ -231,7 +292,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
-def _left_apart(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _left_apart(rows: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Likely pairs of members of one group in different components, each group in blocks of bounded size."""
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     cut = rows.select("key", "node", "component", blocks.alias("blocks"),
@@ -239,5 +300,6 @@ def _left_apart(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     cut = cut.join(classes.select("node", "n_shingles", "sketch"), "node")
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    pairs = cut.groupBy("key", "one", "two").applyInPandas(_block_pairs(percent), "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    together = cut.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").select(
+        "key", "one", "two", "block", "node", "component", "n_shingles", "sketch")
+    return together.mapInArrow(_block_pairs(percent, best), "u long, v long, near double")

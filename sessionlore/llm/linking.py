@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from sessionlore.session import materialize
 
 
+def join_split(rows: DataFrame, other: DataFrame, key: str, *more: str) -> DataFrame:
+    """Inner join on ``key``, a long, and ``more``, where ``other`` is an aggregate by these columns.
+
+    Joined on the aggregate's own partitioning, a hot key of ``rows`` would stay whole in one task. A key that only
+    looks different gives both sides an exchange of their own, which adaptive execution may split.
+    """
+    mark = lambda df: df.withColumn("__key", F.bitwise_not(key)).drop(key)
+    joined = mark(rows).join(mark(other), ["__key", *more])
+    return joined.withColumn(key, F.bitwise_not("__key")).drop("__key")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for every node of ``links`` (``u``, ``v``).
 
@@ -21,11 +32,11 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: larger neighbours of a node link to the smallest neighbour.
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = join_split(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = materialize(large.where("u <> v").distinct())
         # Small star: smaller neighbours and the node itself link to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u")
+        small = join_split(large, low, "u")
         moved = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
         following = materialize(moved.where("u <> v").distinct())
         # Done when all edges lead from a node straight to one that leads nowhere.

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlore.llm.linking import join_split
 from sessionlore.llm.rolling import Words, mix, sliding_min, starts, stretches, windows
 from sessionlore.llm.texts import fields, raw, steps
 
@@ -162,16 +163,17 @@ def remove_passages(docs: DataFrame, *, size: int = 50) -> DataFrame:
     found = known.mapInArrow(_anchor_rows(size, group), "anchor long, doc_id long")
     repeated = (found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 .where("lo < hi").select("anchor"))
-    asked = found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    asked = join_split(found, repeated, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     runs = known.join(asked, "doc_id").mapInArrow(_run_rows(size, group), _ROWS)
     first = runs.groupBy("a", "b").agg(F.min("doc_id").alias("lo"))
-    ranked = runs.join(first, ["a", "b"])
+    ranked = join_split(runs, first, "a", "b")
     chosen = _listed(ranked.where("doc_id = lo"))
     single = known.join(chosen, "doc_id").mapInArrow(_window_rows(size), _ROWS)
     low = (single.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
            .where("lo < hi").select("a", "b", "lo"))
-    later = single.join(low, ["a", "b"]).where("doc_id > lo")
-    gone = _listed(ranked.where("doc_id > lo").select(later.columns).unionByName(later))
+    later = join_split(single, low, "a", "b").where("doc_id > lo")
+    columns = ["doc_id", "place", "many"]
+    gone = _listed(ranked.where("doc_id > lo").select(columns).unionByName(later.select(columns)))
     alone = rows.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<place:long,many:int>>"))
     both = known.join(gone, "doc_id", "left").unionByName(alone)
     compute = _remove(size)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlore.llm.linking import join_split
 from sessionlore.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,7 +44,7 @@ def drop_bitmaps(docs: DataFrame, *, least_length: int = 20, least_documents: in
     first = ordered.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))  # in the order of the range
     shared = (first.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper"))
               .where(F.col("documents") >= least_documents).select("h1", "h2", "keeper"))
-    gone = ordered.join(shared, ["h1", "h2"]).where("doc_id < keeper")
+    gone = join_split(ordered, shared, "h1", "h2").where("doc_id < keeper")
     word = (gone.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")))
     return word.groupBy("doc_id", "text_hash").agg(

@@ -1,7 +1,8 @@
 """Queries on sampling, models, ensembles and agreement.
 
-Small forests keep the runs short; the sizes are arguments of the plans. Fitted results have no
-SQL, the steps around the fits do.
+Bagged votes, stacking, tuning, boosting, the network and the logistic model run at the full sizes, the
+defaults of the plans, and take long; the other forests are small. Fitted results have no SQL, the steps
+around the fits do.
 """
 
 from __future__ import annotations
@@ -106,15 +107,13 @@ def smp_rebalance_rows(t):
 @query("smp_bagged_vote")
 def smp_bagged_vote(t):
     data = Learning(t)
-    return e.bagged_vote(data.score, data.predict, KEYS, data.columns, rounds=3, base=lambda: m.forest(5, 4))
+    return e.bagged_vote(data.score, data.predict, KEYS, data.columns)
 
 
 @query("smp_bagged_vote_chained")
 def smp_bagged_vote_chained(t):
     data = Learning(t)
-    return e.bagged_vote(
-        data.score, data.predict, KEYS, data.columns, rounds=2, base=lambda: m.forest(5, 4), chained=True
-    )
+    return e.bagged_vote(data.score, data.predict, KEYS, data.columns, chained=True)
 
 
 _CANDIDATES = ["Past_Assessment_ag", "Past_Assessment_att", "Past_Assessment_succ"]
@@ -170,13 +169,13 @@ def sort_desc(t):
 
 _MODELS = {
     "fit_forest": lambda d: m.forest(10, 6),
-    "fit_gbt_multi": lambda d: m.boosted_multi(3, 3),
+    "fit_gbt_multi": lambda d: m.boosted_multi(),
     "fit_tree": lambda d: m.tree(6),
     "fit_bagging": lambda d: m.bagging(5, 6),
     "fit_extra_trees": lambda d: m.extra_trees(5, 6),
-    "fit_adaboost": lambda d: m.BoostedStumps(4),
-    "fit_logistic": lambda d: m.logistic(20),
-    "fit_mlp": lambda d: m.network(len(d.columns), 4, (8,), 20),
+    "fit_adaboost": lambda d: m.BoostedStumps(),
+    "fit_logistic": lambda d: m.logistic(),
+    "fit_mlp": lambda d: m.network(len(d.columns), 4),
     "ens_ordinal": lambda d: m.Ordinal(m.forest(5, 5)),
 }
 
@@ -258,10 +257,6 @@ def ens_vote_models(t):
 
 # ---- stacking ---------------------------------------------------------------------------------
 
-def _small_models():
-    return {"tree": m.tree(4), "nearest": m.NearestVote(5), "stumps": m.BoostedStumps(2), "forest": m.forest(3, 4)}
-
-
 @query("stk_fold", """
 SELECT vec_id, CAST(vec_id % 10 AS INTEGER) AS fold FROM embeddings""")
 def stk_fold(t):
@@ -272,15 +267,17 @@ def stk_fold(t):
 @query("stk_oof")
 def stk_oof(t):
     data = Learning(t)
-    rows = e.out_of_fold(data.keyed(data.train), _small_models(), "row_key", 4, folds=2)
-    return rows.select("row_key", "fold", m.LABEL, *[F.round(F.col("meta")[i], 6).alias(f"m{i}") for i in range(16)])
+    models = e.base_models()
+    rows = e.out_of_fold(data.keyed(data.train), models, "row_key", 4)
+    width = 4 * len(models)
+    return rows.select("row_key", "fold", m.LABEL, *[F.round(F.col("meta")[i], 6).alias(f"m{i}") for i in range(width)])
 
 
 @query("stk_fit_base")
 def stk_fit_base(t):
     """Accuracy of each base model, fitted to all rows, on the rows to predict."""
     data = Learning(t)
-    fitted = e.fit_base(data.keyed(data.train), _small_models())
+    fitted = e.fit_base(data.keyed(data.train), e.base_models())
     rows = e.long_predictions(fitted, data.keyed(data.test), ["row_key"], [m.LABEL])
     return e.score_models(rows).select("model", "accuracy")
 
@@ -288,8 +285,8 @@ def stk_fit_base(t):
 def _stack(t):
     data = Learning(t)
     train, test = data.keyed(data.train), data.keyed(data.test)
-    models = {"tree": m.tree(4), "forest": m.forest(3, 4)}
-    meta = materialize(e.out_of_fold(train, models, "row_key", 4, folds=2))
+    models = e.base_models()
+    meta = materialize(e.out_of_fold(train, models, "row_key", 4))
     return data, e.fit_base(train, models), meta, test
 
 
@@ -313,14 +310,13 @@ def stk_predict(t):
 @query("tune_trees")
 def tune_trees(t):
     data = Learning(t)
-    return e.tree_sweep(data.train, data.test, [1, 2, 4], 4)
+    return e.tree_sweep(data.train, data.test, range(1, 100))
 
 
 @query("tune_random_search")
 def tune_random_search(t):
     data = Learning(t)
-    grid = {"numTrees": [2, 4], "maxDepth": [2, 4], "minInstancesPerNode": [1, 2, 4], "bootstrap": [True, False]}
-    return e.random_search(data.train, grid, draws=2, folds=3)
+    return e.random_search(data.train)
 
 
 @query("ev_permutation")
@@ -446,7 +442,7 @@ def job_bagged(t):
     ids = holdout.last_assessment(t.assessments)
     last, earlier = (materialize(final.join(ids, KEYS, how)) for how in ("left_semi", "left_anti"))
     columns = e.correlated_columns(earlier, assemble.feature_columns(earlier), "accuracy_group")
-    voted = e.bagged_vote(earlier, last, KEYS, columns, rounds=2, base=lambda: m.forest(5, 4))
+    voted = e.bagged_vote(earlier, last, KEYS, columns)
     return _submitted(t, voted)
 
 

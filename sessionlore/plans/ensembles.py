@@ -46,7 +46,7 @@ def vote_weighted(fitted: dict, df: DataFrame, keys: Sequence[str], weights: dic
 def bagged_vote(train: DataFrame, test: DataFrame, keys: Sequence[str], columns: Sequence[str],
                 rounds: int = 40, base: Callable[[], object] | None = None, mode: str = "over",
                 label: str = "accuracy_group", chained: bool = False, seed: int = 42) -> DataFrame:
-    """Mode of the predictions of ``rounds`` forests, each on a rebalanced sample.
+    """Mode of the predictions of ``rounds`` forests, each on a rebalanced sample. One forest is held at a time.
 
     ``chained`` draws each sample from the one before instead of from the table.
     """
@@ -61,7 +61,7 @@ def bagged_vote(train: DataFrame, test: DataFrame, keys: Sequence[str], columns:
     parts = []
     for i, sample in enumerate(samples):
         model = base().fit(m.assemble(sample, columns, label))
-        parts.append(model.transform(asked).select(*keys, F.lit(i).alias("bag"), "prediction"))
+        parts.append(materialize(model.transform(asked).select(*keys, F.lit(i).alias("bag"), "prediction")))
     return row_mode(reduce(DataFrame.unionByName, parts), keys)
 
 
@@ -154,7 +154,7 @@ def out_of_fold(df: DataFrame, models: dict, key: str, classes: int, folds: int
     for fold in range(folds):
         seen, held = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
         fitted = {name: model.fit(seen) for name, model in models.items()}
-        parts.append(meta_features(fitted, held, key, classes))
+        parts.append(materialize(meta_features(fitted, held, key, classes)))
     return data.select(key, "fold", m.LABEL).join(reduce(DataFrame.unionByName, parts), key)
 
 

@@ -1,10 +1,15 @@
 """Sampling, neighbours, models and ensembles on the smallest tables."""
 
+import inspect
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from sessionlore.catalog import learning
+from sessionlore.catalog.base import QUERIES
 from sessionlore.operators.nearest import nearest
 from sessionlore.operators.sampling import chain, number_within, rebalance
 from sessionlore.operators.statistics import describe, value_counts
@@ -123,3 +128,79 @@ def test_votes(points):
     heavy = e.vote_weighted(fitted, points, ["row_key"], {"tree": 3, "forest": 1})
     tree = fitted["tree"].transform(points).select("row_key", F.col("prediction").cast("int").alias("prediction"))
     assert sorted(heavy.collect()) == sorted(tree.collect())
+
+
+class Asked(Exception):
+    """Arguments with which a query calls a plan."""
+
+
+class Rows:
+    train = test = score = predict = "rows"
+    columns = ["a", "b", "c"]
+
+    def keyed(self, df):
+        return df
+
+    def predictions(self, model):
+        return model
+
+
+@pytest.fixture
+def asked(spark, monkeypatch):
+    """What a query asks of a plan, which is not run."""
+    monkeypatch.setattr(learning, "Learning", lambda t: Rows())
+
+    def run(name, plan):
+        function = getattr(e, plan)
+
+        def record(*args, **more):
+            bound = inspect.signature(function).bind(*args, **more)
+            bound.apply_defaults()
+            raise Asked(bound.arguments)
+
+        monkeypatch.setattr(e, plan, record)
+        with pytest.raises(Asked) as found:
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+        monkeypatch.setattr(e, plan, function)
+        return found.value.args[0]
+
+    return run
+
+
+SIX = {"tree", "nearest", "stumps", "bagging", "forest", "extra"}
+
+
+@pytest.mark.parametrize("name", ["stk_oof", "stk_fit_meta", "stk_predict"])
+def test_stacking_queries_use_all_models_and_folds(asked, name):
+    found = asked(name, "out_of_fold")
+    assert set(found["models"]) == SIX and found["folds"] == 10 and found["models"]["stumps"].rounds == 50
+    assert {found["models"][k].getNumTrees() for k in ("bagging", "forest", "extra")} == {10}
+    assert {found["models"][k].getMaxDepth() for k in ("tree", "bagging", "forest", "extra")} == {m.DEEPEST}
+
+
+def test_queries_run_at_full_size(spark, asked):
+    assert set(asked("stk_fit_base", "fit_base")["models"]) == SIX
+    sweep = asked("tune_trees", "tree_sweep")
+    assert list(sweep["numbers"]) == list(range(1, 100)) and sweep["depth"] == m.DEEPEST
+    search = asked("tune_random_search", "random_search")
+    assert search["draws"] == 100 and search["folds"] == 3 and (search["grid"] or e.SEARCH_GRID) == e.SEARCH_GRID
+    for name, chained in (("smp_bagged_vote", False), ("smp_bagged_vote_chained", True)):
+        vote = asked(name, "bagged_vote")
+        assert vote["rounds"] == 40 and vote["base"] is None and vote["chained"] is chained
+    model = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert model("fit_gbt_multi").getClassifier().getMaxIter() == 100 and model("fit_adaboost").rounds == 50
+    assert model("fit_logistic").getMaxIter() == 100
+    network = model("fit_mlp").getStages()[-1]
+    assert network.getLayers() == [3, 100, 4] and network.getMaxIter() == 200
+
+
+def test_bagged_job_runs_at_full_size(monkeypatch):
+    vote = MagicMock()
+    for module, name, stub in ((learning.assemble, "create_features", MagicMock()), (learning.assemble, "with_labels", MagicMock()),
+                               (learning.assemble, "feature_columns", MagicMock()), (learning.holdout, "last_assessment", MagicMock()),
+                               (learning, "materialize", lambda df: df), (e, "correlated_columns", lambda *a: ["a"]),
+                               (e, "bagged_vote", vote), (learning, "_submitted", lambda t, rows: rows)):
+        monkeypatch.setattr(module, name, stub)
+    learning.job_bagged(MagicMock())
+    (_, _, _, columns), more = vote.call_args
+    assert columns == ["a"] and more.get("rounds", 40) == 40 and more.get("base") is None

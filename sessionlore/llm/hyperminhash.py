@@ -94,9 +94,9 @@ def _sketch_rows(size):
             one = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             two = [int(mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
+                names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sketch"])
 
     return run
 
@@ -223,25 +223,31 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
     ``component_id`` is the smallest ``doc_id`` reachable, ``kept`` whether it is the row's own.
 
     Null and wordless texts have an empty set and are linked with nothing. Rows without ``doc_id`` are linked
-    with nothing, have no component and are kept; rows that share a ``doc_id`` count as one document. An empty
-    table gives no rows.
+    with nothing, have no component and are kept. Rows that share a ``doc_id`` are documents of their own, linked by
+    their own texts. An empty table gives no rows.
 
     Equal sets are one class, found by a map-side combined aggregate; only its first document goes on. In a
     band's group each member meets a leading member, over two rounds, and connected members need no
     more comparisons; members left apart are compared in blocks by their sketches, first for the best partner of
     each, then for all. Every link is confirmed on the full sets. The texts of candidates are shuffled, not those of all pairs.
     """
-    found = materialize(docs.select("doc_id", "text").mapInArrow(
-        _sketch_rows(size), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"))
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``text_hash`` and ``component``, a number of the group that no other group has."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = materialize(hashed.mapInArrow(
+        _sketch_rows(size), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sketch binary"))
     classes = (found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "s1", "s2")
-               .agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")))
-    classes = materialize(classes)
+               .agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.first("sketch").alias("sketch")))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     bands = classes.select("node", "sketch").mapInArrow(_band_rows, "key long, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = materialize(join_split(bands, shared, "key"))
     asked = members.select("node").distinct()
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    content = materialize(classes.join(asked, "node").join(known, "node")
+    wanted = classes.join(asked, "node").select("node", "n_shingles", "sketch", "head.doc_id", "head.text_hash")
+    content = materialize(wanted.join(hashed, ["doc_id", "text_hash"])
                           .select("node", "n_shingles", "sketch", F.coalesce("text", F.lit("")).alias("text")))
 
     def confirmed(pairs):
@@ -271,24 +277,30 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
         grouped = components(links)
         labels = materialize(members.select("node").distinct().join(grouped, "node", "left")
                              .select("node", F.coalesce("component", "node").alias("component")))
-    classes = classes.join(labels, "node", "left").select(
-        "n_shingles", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "s1", "s2")
-    whole = out.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["n_shingles", "s1", "s2"]).select(
-        "doc_id", "n_shingles", "component_id")
-    rest = out.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    classes = materialize(classes.join(labels, "node", "left").select(
+        "n_shingles", "s1", "s2", "head", F.coalesce("component", "node").alias("component")))
+    low = classes.groupBy("component").agg(F.min("head.doc_id").alias("component_id"))
+    classes = join_split(classes.drop("head"), low, "component")
+    out = found.select("doc_id", "text_hash", "n_shingles", "s1", "s2")
+    columns = ["doc_id", "text_hash", "n_shingles", "component", "component_id"]
+    whole = out.where("doc_id IS NOT NULL AND n_shingles > 0").join(classes, ["n_shingles", "s1", "s2"]).select(*columns)
+    rest = out.where("doc_id IS NULL OR n_shingles = 0").withColumns(
+        {"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}).select(*columns)
     return whole.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, size: int = 3, percent: int = 85) -> DataFrame:
     """The row of ``docs`` with the smallest ``doc_id`` of each group of near-duplicates, unchanged.
 
-    Rows without ``doc_id`` stay; of rows that share one a single row stays, the one with the least hash.
+    Rows without ``doc_id`` stay. Of rows with the smallest ``doc_id`` of their group the one with the least hash
+    stays, and of rows equal in ``doc_id`` and text a single one.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    ids = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.struct(*columns).alias("row"), F.xxhash64("text").alias("rank"))
-    kept = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "rank").alias("row"))
+    found = _grouped(docs, size, percent).where("kept AND doc_id IS NOT NULL")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    ids = first.select("head.*").unionByName(found.where("component IS NULL").select("doc_id", "text_hash").distinct())
+    rows = docs.select("doc_id", F.struct(*columns).alias("row"), F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(ids, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
     return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 

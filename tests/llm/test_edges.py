@@ -83,3 +83,17 @@ def test_odd_vectors(spark):
     assert found[None] == (0, None, True)
     assert all(found[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 11))
     assert vector_dedup.link_vectors(table.limit(0)).collect() == []
+
+
+def test_near_duplicates_tell_texts_that_share_an_id_apart(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue"))
+    close = two.replace("blue39", "changed")
+    rows = [(1, one), (1, two), (2, one), (3, close), (4, two), (1, one), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = hyperminhash.near_duplicates(docs, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True)]
+    kept = [tuple(r) for r in hyperminhash.keep_first(docs, percent=80).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (1, two), (5, None), (5, "")], key=str)
+    apart = spark.createDataFrame([(0, two), (1, one), (1, close)], "doc_id long, text string")
+    assert sorted(map(tuple, hyperminhash.keep_first(apart, percent=80).collect())) == [(0, two), (1, one)]

@@ -149,8 +149,8 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
     """``docs`` with what of each text stands word for word in ``benchmark``.
 
     Adds ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``items`` (names of the items with
-    occurring windows, sorted as strings), ``longest`` (words of the longest verbatim match) and the covered runs of words
-    ``hit_starts``/``hit_ends``. A window is ``width`` consecutive words of an item, or a whole shorter item.
+    occurring windows, sorted as strings), ``longest`` (words of the longest verbatim match of at least a window, or of a
+    whole shorter item; else 0) and the covered runs of words ``hit_starts``/``hit_ends``. A window is ``width`` consecutive words of an item, or a whole shorter item.
 
     The benchmark is the query set. It is taken in blocks of about ``block_bytes`` of text, which alone are
     collected and broadcast, one pass over the texts for each block; there is no shuffle within a pass.

@@ -23,10 +23,11 @@ STEP = 1 << 20
 _EMPTY = 0xFFFF
 #: Standard errors that the estimate may lie under the wanted similarity.
 _MARGIN = 5.0
-#: Members of a candidate group that are compared at once.
-_BLOCK = 1024
-#: Rounds in which members meet a leading member before all that is left is compared.
-_ROUNDS = 2
+#: Rounds in which members meet a leading member of their bands, and then of their rare shingles, before all that is
+#: left is compared.
+_ROUNDS, _RARE_ROUNDS = 2, 2
+#: Rare shingles of a set up to which each carries the ones before it.
+_LISTED = 32
 
 
 def shingle_sets(texts, size: int):
@@ -113,19 +114,31 @@ def _band_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node").take(owner)], names=["key", "node"])
 
 
+def _exact_sets(texts, size):
+    """Rows of word numbers, one for each distinct shingle of each text; equal words have equal numbers."""
+    number: dict[bytes, int] = {}
+    out = []
+    for text in texts:
+        words = (text or b"").lower().split()
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        width = max(1, min(size, len(ids)))
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, width) if len(ids) else ids.reshape(0, 1))
+        out.append(np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * width))).ravel()))
+    return out
+
+
 def _confirm(size, percent):
-    """Pairs of texts whose sketches, and then whose full sets, are similar enough."""
+    """Pairs of texts whose sketches, and then whose full sets of shingles, word by word, are similar enough."""
 
     def run(batches):
         for batch in batches:
             for part in steps([batch], "text_u", STEP):
                 a, b = _matrix(part.column("sketch_u")), _matrix(part.column("sketch_v"))
-                likely, _ = _likely(a, b, part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
-                keep = np.flatnonzero(likely)
-                part = part.take(pa.array(keep))
+                likely = _likely(a, b, part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
                 good = []
-                for i, (s, t) in enumerate(zip(shingle_sets(raw(part, "text_u"), size), shingle_sets(raw(part, "text_v"), size))):
-                    common = len(np.intersect1d(s, t, assume_unique=True))
+                for i in np.flatnonzero(likely).tolist():
+                    s, t = _exact_sets([part.column(c)[i].as_buffer().to_pybytes() for c in ("text_u", "text_v")], size)
+                    common = len(np.intersect1d(s, t, assume_unique=True)) if s.dtype == t.dtype else 0
                     if 100 * common >= percent * (len(s) + len(t) - common):
                         good.append(i)
                 if good:
@@ -138,81 +151,86 @@ def _likely(a, b, n_a, n_b, percent):
     found, used = estimate(a, b, n_a, n_b)
     wanted = percent / 100
     close = found >= wanted - _MARGIN * np.sqrt(wanted * (1 - wanted) / np.maximum(used, 1))
-    return close & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)), found
+    return close & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+
+
+def _shingle_rows(size):
+    """The shingle hashes of each text, a row each."""
 
+    def run(batches):
+        for batch in batches:
+            for part in steps([batch], "text", STEP):
+                sets = shingle_sets(raw(part, "text"), size)
+                owner = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(owner) for c in ("node", "component", "peers", "n_shingles")),
+                     pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))],
+                    names=["node", "component", "peers", "n_shingles", "shingle"])
 
-#: Pairs that are looked at in one step.
-_SLAB = 50_000
+    return run
 
 
-def _block_pairs(percent, best):
-    """Likely pairs within sorted candidate groups whose members are not connected yet, with their estimates.
+def _prefixes(open_: DataFrame, content: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rarest shingles of members, as far as two similar sets must have one of them in common.
 
-    With ``best`` each member comes with its best partner only, of those met in one batch of groups.
+    Sets are read in one order: shingles that only one component has, then the others by their number of sets. Two
+    sets of which at least ``k`` shingles are common share one among the first n - k + 1 of each; ``place`` is a
+    shingle's place and ``before``, of short lists, the ones ahead of it. A set with too few shingles that another
+    component has drops out whole.
+    """
+    state = open_.select("node", "component", "peers").distinct()
+    rows = content.join(state, "node").select("node", "component", "peers", "n_shingles", "text").mapInArrow(
+        _shingle_rows(size), "node long, component long, peers long, n_shingles long, shingle long")
+    crossing = rows.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    crossing = crossing.where("lo < hi").select("shingle", "sets")
+    lists = join_split(rows, crossing, "shingle").groupBy("node", "component", "peers", "n_shingles").agg(
+        F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))  # at most the shingles of one text
+    least = F.ceil(F.col("n_shingles") * percent / 100.0 - 1e-9).cast("int")
+    first = F.col("n_shingles") - F.size("own")
+    lists = lists.where(F.size("own") >= least).withColumns(
+        {"first": first, "own": F.slice("own", 1, F.size("own") - least + 1)})
+    rows = lists.select("node", "component", "peers", "n_shingles", "first", F.col("own.shingle").alias("own"),
+                        F.posexplode("own").alias("at", "entry"))
+    before = F.when(F.size("own") <= _LISTED, F.slice("own", F.lit(1), F.col("at"))).alias("before")
+    return rows.select("node", "component", "peers", "n_shingles", (F.col("first") + F.col("at")).alias("place"),
+                       F.col("entry.shingle").alias("shingle"), before)
+
+
+def _meeting(percent: int, a: str, b: str):
+    """Whether two rows of ``_prefixes`` can belong to similar sets of different components.
+
+    The first shingle that two similar sets share has enough shingles after it in both. Other shared ones need not
+    make a row: they are told by a shared one before them.
     """
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    common = F.ceil((x + y) * percent / (100.0 + percent) - 1e-9)
+    return ((F.col(f"{a}.component") != F.col(f"{b}.component")) & (100 * F.least(x, y) >= percent * F.greatest(x, y))
+            & (F.col(f"{a}.place") <= x - common) & (F.col(f"{b}.place") <= y - common)
+            & ~F.coalesce(F.arrays_overlap(f"{a}.before", f"{b}.before"), F.lit(False)))
 
-    def pairs(rows):
-        key, block, node, part, n, two = (rows.column(c).to_numpy() for c in (
-            "key", "block", "node", "component", "n_shingles", "two"))
-        one = rows.column("one").to_numpy()
-        sketch = _matrix(rows.column("sketch"))
-        bands = band_keys(sketch)
-        ends = np.append(_heads(rows)[1:], len(key))
-        after = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(key)) - 1
-        upto = np.cumsum(after)
-        start = 0
-        while start < len(key):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _SLAB, "right")))
-            many = after[start:stop]
-            u = np.repeat(np.arange(start, stop), many)
-            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(many) - many, many)
-            apart = (part[u] != part[v]) & ((one[u] == two[u]) | (block[u] != block[v]))
-            u, v = u[apart], v[apart]
-            same = bands[u] == bands[v]  # a pair belongs to the first band that it shares
-            first = same.argmax(1) if len(u) else u
-            own = bands[u, first] == key[u]
-            u, v = u[own], v[own]
-            good, found = _likely(sketch[u], sketch[v], n[u], n[v], percent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(node[u], node[v])[good]), pa.array(np.maximum(node[u], node[v])[good]),
-                 pa.array(found[good])], names=["u", "v", "near"])
-            start = stop
-
-    def chosen(rows):
-        if not best:
-            yield from pairs(rows)
-            return
-        found = pa.Table.from_batches(pairs(rows))
-        u, v, near = (found.column(c).to_numpy() for c in ("u", "v", "near"))
-        u, v, near = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([near, near])
-        order = np.lexsort((v, near, u))
-        last = order[np.append(u[order][1:] != u[order][:-1], True)] if len(order) else order
-        yield pa.RecordBatch.from_arrays([pa.array(x[last]) for x in (u, v, near)], names=["u", "v", "near"])
 
-    def run(batches):
-        held = None  # the last group may go on in the next batch
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            rows = rows.combine_chunks()
-            last = int(_heads(rows)[-1]) if rows.num_rows else 0
-            if last:
-                yield from chosen(rows.slice(0, last))
-            held = rows.slice(last)
-        if held is not None and held.num_rows:
-            yield from chosen(held)
+def _left_apart(prefixes: DataFrame, percent: int, leads: int | None) -> DataFrame:
+    """Pairs of members of different components that share a rare shingle.
 
-    return run
+    With ``leads``, a number, members meet only a leading member of each of these shingles, drawn by it.
+    """
+    own = prefixes.alias("a")
+    if leads is None:
+        pairs = own.join(prefixes.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (
+            F.struct("a.n_shingles", "a.node") < F.struct("b.n_shingles", "b.node")) & _meeting(percent, "a", "b"))
+        return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    lead = prefixes.groupBy("shingle").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.max_by(F.struct("node", "component", "n_shingles", "place", "before"), _rank(leads)).alias("lead"))
+    lead = lead.where("lo < hi").select("shingle", "lead.*")
+    met = prefixes.withColumn("k", F.bitwise_not("shingle")).alias("a").join(
+        lead.withColumn("k", F.bitwise_not("shingle")).alias("b"), F.expr("a.k = b.k") & _meeting(percent, "a", "b"))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def _heads(rows) -> np.ndarray:
-    """First rows of the groups."""
-    new = np.zeros(rows.num_rows, bool)
-    new[:1] = True
-    for c in ("key", "one", "two"):
-        values = rows.column(c).to_numpy()
-        new[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(new)
+def _rank(turn: int):
+    """Leading members come from the largest component, in another order in each turn."""
+    return F.struct("peers", F.xxhash64("node", F.lit(turn)))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> DataFrame:
@@ -228,8 +246,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 85) -> Dat
 
     Equal sets are one class, found by a map-side combined aggregate; only its first document goes on. In a
     band's group each member meets a leading member, over two rounds, and connected members need no
-    more comparisons; members left apart are compared in blocks by their sketches, first for the best partner of
-    each, then for all. Every link is confirmed on the full sets. The texts of candidates are shuffled, not those of all pairs.
+    more comparisons. Members left apart must share one of their rarest shingles to be similar (an exact prefix
+    filter): they meet leading members of these, then all that are still apart and share one. Candidates
+    go by the estimate from their sketches, and every link is confirmed on the full sets, word by word.
     """
     return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -247,37 +266,40 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     members = materialize(join_split(bands, shared, "key"))
     asked = members.select("node").distinct()
     wanted = classes.join(asked, "node").select("node", "n_shingles", "sketch", "head.doc_id", "head.text_hash")
-    content = materialize(wanted.join(hashed, ["doc_id", "text_hash"])
-                          .select("node", "n_shingles", "sketch", F.coalesce("text", F.lit("")).alias("text")))
+    content = wanted.join(hashed, ["doc_id", "text_hash"]).groupBy("node").agg(  # repeated rows count once
+        *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "text")])
+    content = materialize(content)
 
     def confirmed(pairs):
         side = lambda s: content.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"),
                                         F.col("sketch").alias(f"sketch_{s}"), F.col("text").alias(f"text_{s}"))
         return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_confirm(size, percent), "u long, v long")
 
-    links, labels = None, members.select("node", F.col("node").alias("component")).distinct()
-    for turn in range(_ROUNDS + 2):
+    links, labels = None, members.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("peers")).distinct()
+    for turn in range(_ROUNDS + _RARE_ROUNDS + 1):
         placed = members.join(labels, "node")
         state = placed.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
-            F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("lead")).where("lo < hi")
+            F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.max_by(F.struct("node", "component"), _rank(turn)).alias("lead")).where("lo < hi")
         open_ = join_split(placed, state, "key")
         if turn < _ROUNDS:
             met = open_.where("component <> lead.component").groupBy(F.col("node").alias("v"), F.col("lead.node").alias("u")).count()
             pairs = met.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u"))
-        elif turn == _ROUNDS:  # the best partner of each member, which connects what can be connected
-            pairs = _left_apart(open_, classes, percent, True).groupBy("u").agg(F.max_by("v", F.struct("near", "v")).alias("v")).select(
-                F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        else:  # whatever is left
-            pairs = _left_apart(open_, classes, percent, False).select("u", "v")
+        else:
+            prefixes = materialize(_prefixes(open_, content, size, percent))
+            if prefixes.isEmpty():
+                break
+            pairs = _left_apart(prefixes, percent, turn if turn < _ROUNDS + _RARE_ROUNDS else None)
         new = materialize(confirmed(pairs))
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         grouped = components(links)
-        labels = materialize(members.select("node").distinct().join(grouped, "node", "left")
-                             .select("node", F.coalesce("component", "node").alias("component")))
-    classes = materialize(classes.join(labels, "node", "left").select(
+        labels = members.select("node").distinct().join(grouped, "node", "left").select(
+            "node", F.coalesce("component", "node").alias("component"))
+        peers = labels.groupBy("component").agg(F.count("*").alias("peers"))
+        labels = materialize(join_split(labels, peers, "component"))
+    classes = materialize(classes.join(labels.drop("peers"), "node", "left").select(
         "n_shingles", "s1", "s2", "head", F.coalesce("component", "node").alias("component")))
     low = classes.groupBy("component").agg(F.min("head.doc_id").alias("component_id"))
     classes = join_split(classes.drop("head"), low, "component")
@@ -302,16 +324,3 @@ def keep_first(docs: DataFrame, *, size: int = 3, percent: int = 85) -> DataFram
     rows = docs.select("doc_id", F.struct(*columns).alias("row"), F.xxhash64("text").alias("text_hash"))
     kept = rows.join(ids, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
     return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
-
-
-def _left_apart(rows: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs of members of one group in different components, each group in blocks of bounded size."""
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    cut = rows.select("key", "node", "component", blocks.alias("blocks"),
-                      F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int").alias("block"))
-    cut = cut.join(classes.select("node", "n_shingles", "sketch"), "node")
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    together = cut.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").select(
-        "key", "one", "two", "block", "node", "component", "n_shingles", "sketch")
-    return together.mapInArrow(_block_pairs(percent, best), "u long, v long, near double")

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from sessionlore.llm import decontaminate, hyperminhash, language_id, lattice, linking, line_dedup, lm_score
-from sessionlore.llm import passage_dedup, piece_codec, secret_scan, token_counts, vector_dedup
+from sessionlore.llm import passage_dedup, piece_codec, rolling, secret_scan, token_counts, vector_dedup
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = st.lists(st.sampled_from(list("abcdehilnorst'  \n\t.,!09éñß漢▁👍’") + ["the ", "'s", "'re", "   "]), max_size=60).map("".join)
@@ -113,8 +113,7 @@ def shingles(text, size):
 
 
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(docs, corpus, size, percent, monkeypatch):
-    monkeypatch.setattr(hyperminhash, "_BLOCK", 3)
+def test_near_duplicates(docs, corpus, size, percent):
     sets = {i: shingles(t, size) for i, t in corpus}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
              and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
@@ -124,10 +123,11 @@ def test_near_duplicates(docs, corpus, size, percent, monkeypatch):
     assert sorted(r.doc_id for r in hyperminhash.keep_first(docs, size=size, percent=percent).collect()) == sorted(set(low.values()))
 
 
-def test_near_duplicates_left_apart_are_compared(spark, monkeypatch):
-    """Without rounds of leading members every pair of a group goes through the blocks."""
+@pytest.mark.parametrize("rare", [0, 2])
+def test_near_duplicates_left_apart_are_compared(spark, monkeypatch, rare):
+    """Without rounds of leading members of bands every pair goes through the rare shingles."""
     monkeypatch.setattr(hyperminhash, "_ROUNDS", 0)
-    monkeypatch.setattr(hyperminhash, "_BLOCK", 4)
+    monkeypatch.setattr(hyperminhash, "_RARE_ROUNDS", rare)
     words = [f"w{k}" for k in range(60)]
     rows = []
     for i in range(20):
@@ -139,6 +139,44 @@ def test_near_duplicates_left_apart_are_compared(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 100 else i for i, _ in rows}
 
 
+def mirrored():
+    """Two words of 1,024 letters that polynomials modulo a power of two cannot tell apart."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_regular_words_differ():
+    one, two = mirrored()
+    words = rolling.Words([one.encode(), two.encode()])
+    assert all(words.hashes(lane)[0] != words.hashes(lane)[1] for lane in (0, 1))
+    words = rolling.Words([" ".join(x).encode() for x in (one, two)])
+    ends = np.array([[0, 1024], [1024, 2048]])
+    assert all(len(set(rolling.stretches(words.hashes(lane), *ends, lane).tolist())) == 2 for lane in (0, 1))
+    assert all(len(set(rolling.windows(words.hashes(lane), 1024, lane)[[0, 1024]].tolist())) == 2 for lane in (0, 1))
+
+
+def test_products_modulo_the_prime():
+    rng = random.Random(1)
+    some = [rng.randrange(rolling.PRIME) for _ in range(500)] + [0, 1, rolling.PRIME - 1]
+    got = rolling.times(np.array(some, np.uint64), np.array(some[::-1], np.uint64))
+    assert got.tolist() == [a * b % rolling.PRIME for a, b in zip(some, some[::-1])]
+
+
+def test_regular_words_are_not_taken_for_each_other(spark):
+    one, two = mirrored()
+    plain = [f"w{k}" for k in range(60)]
+    first, second = (" ".join([*plain[:30], w, *plain[31:]]) for w in (one, two))
+    rows = spark.createDataFrame([(1, first), (2, second), (3, one), (4, two), (5, " ".join(one)), (6, " ".join(two))],
+                                 "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in passage_dedup.remove_passages(rows.where("doc_id < 5")).collect()} == dict.fromkeys(range(1, 5), 0)
+    found = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(rows.where("doc_id in (3, 4)")).collect()}
+    assert found == {3: 3, 4: 4}
+    long = passage_dedup.remove_passages(rows.where("doc_id > 4"), size=1024).collect()
+    assert [r.n_removed for r in long] == [0, 0]
+
+
 def test_sketch_estimate():
     rng = np.random.default_rng(3)
     errors = []

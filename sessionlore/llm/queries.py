@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlore.llm.centroid_clusters import cluster
 from sessionlore.llm.decontaminate import match_benchmark
 from sessionlore.llm.hyperminhash import near_duplicates
 from sessionlore.llm.language_id import identify, train
+from sessionlore.llm.license_scan import scan_licenses
 from sessionlore.llm.line_dedup import mark_lines
 from sessionlore.llm.lm_score import score_documents
 from sessionlore.llm.passage_dedup import remove_passages
@@ -18,6 +20,7 @@ from sessionlore.llm.piece_codec import encode_decode
 from sessionlore.llm.secret_scan import BASE, RULES, scan, spans_text
 from sessionlore.llm.token_counts import count_tokens
 from sessionlore.llm.vector_dedup import link_vectors
+from sessionlore.llm.whitening import whiten
 from sessionlore.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +230,45 @@ def decontaminate(source: Source) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op11_license_scan")
+def license_scan(source: Source) -> DataFrame:
+    found = scan_licenses(source.documents)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _clusters_sql(count: int = 40, rounds: int = 5) -> str:
+    parts = [f"""
+WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1)::INTEGER AS k, q FROM e
+       QUALIFY k < {count})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min({{'d': far, 'k': k}}) AS best FROM (
+       SELECT e.vec_id, e.q, c.k, list_sum(list_transform(list_zip(e.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far
+       FROM e CROSS JOIN c{i} c) GROUP BY vec_id)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS (SELECT k, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY d) AS q FROM (
+       SELECT k, d, sum(v)::BIGINT AS s, count(*) AS n FROM (
+         SELECT best.k AS k, unnest(q) AS v, generate_subscripts(q, 1) AS d FROM a{i}) GROUP BY k, d) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, best.k AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.k = best.k"""
+
+
+@query("op12_centroid_clusters", _clusters_sql())
+def centroid_clusters(source: Source) -> DataFrame:
+    return cluster(source.read("embeddings", "vec_id", "embedding"))
+
+
+@query("op13_whitening")
+def whitening(source: Source) -> DataFrame:
+    found = whiten(source.read("embeddings", "vec_id", "embedding"))
+    each = found.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("i", "whitened"))
+    return each.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+                       F.get("explained", F.col("i")).alias("explained"), "identity_error")

@@ -132,7 +132,7 @@ def _project(n, total, values, vectors):
                 deviation = [sum(v * v for v in row) for row in apart.astype(object).tolist()]
                 deviation = [v if v < 1 << 63 else None for v in deviation]
             white = apart.astype(np.float64) / n @ vectors / scale
-            ends = np.arange(0, white.size + 1, white.shape[1], dtype=np.int32)
+            ends = np.arange(len(white) + 1, dtype=np.int32) * white.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(ends, white.ravel())],
                 names=["vec_id", "deviation", "whitened"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.linking import components, join_split
+from sessionlore.llm.linking import components, join_split, merged
 from sessionlore.llm.rolling import Words, mix, stretches
 from sessionlore.llm.texts import raw, steps
 from sessionlore.session import materialize
@@ -294,13 +294,13 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
-        grouped = components(links)
-        labels = members.select("node").distinct().join(grouped, "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component"))
-        peers = labels.groupBy("component").agg(F.count("*").alias("peers"))
-        labels = materialize(join_split(labels, peers, "component"))
-    classes = materialize(classes.join(labels.drop("peers"), "node", "left").select(
-        "n_shingles", "s1", "s2", "head", F.coalesce("component", "node").alias("component")))
+        if turn < _ROUNDS + _RARE_ROUNDS:
+            labels = merged(labels, new)
+    if links is None:
+        classes = classes.withColumn("component", F.col("node"))
+    else:
+        classes = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = materialize(classes.select("n_shingles", "s1", "s2", "head", "component"))
     low = classes.groupBy("component").agg(F.min("head.doc_id").alias("component_id"))
     classes = join_split(classes.drop("head"), low, "component")
     out = found.select("doc_id", "text_hash", "n_shingles", "s1", "s2")

@@ -19,6 +19,29 @@ def join_split(rows: DataFrame, other: DataFrame, key: str, *more: str) -> DataF
     return joined.withColumn(key, F.bitwise_not("__key")).drop("__key")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node``, ``component``, ``peers``) after links (``u``, ``v``) between nodes have joined components.
+
+    A component goes to the neighbour with most links, if that has more than it, and from there up to four steps on.
+    Only linked components are joined, but of those with a long way between them some may stay apart: this is a
+    cheap step in between, where ``components`` gives the whole answer. ``peers`` counts a component's nodes.
+    """
+    side = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").select("cu", "cv").distinct()
+    both = materialize(ends.union(ends.select("cv", "cu")).distinct())
+    degree = both.groupBy("cu").agg(F.count("*").alias("n"))
+    ranked = both.join(degree.select(F.col("cu").alias("cv"), F.col("n").alias("m")), "cv")
+    up = ranked.groupBy("cu").agg(F.max(F.struct("m", "cv")).alias("top"), F.count("*").alias("n"))
+    up = up.where(F.col("top") > F.struct("n", "cu")).select(F.col("cu").alias("a"), F.col("top.cv").alias("b"))
+    for _ in range(2):  # twice as far each time
+        further = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up = materialize(up.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
+    moved = labels.join(up.withColumnRenamed("a", "component"), "component", "left").select(
+        "node", F.coalesce("b", "component").alias("component"))
+    peers = moved.groupBy("component").agg(F.count("*").alias("peers"))
+    return materialize(join_split(moved, peers, "component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for every node of ``links`` (``u``, ``v``).
 

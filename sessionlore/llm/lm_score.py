@@ -24,7 +24,7 @@ from sessionlore.session import materialize
 
 DISCOUNT = 0.75
 #: Text bytes of a block, whose words are looked up together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 _FLUSH = 200_000
 #: Pseudo-count of the file's own scores in the fitted ones.
 _PRIOR = 1000.0
@@ -36,22 +36,22 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 def _count_rows(batches):
     """Partial counts of words by class, combined within a task up to a bound."""
-    counts: Counter = Counter()
+    counts: dict[int, Counter] = {}
 
     def flush():
-        keys = list(counts)
+        words = [w for own in counts.values() for w in own]
+        kinds = np.repeat(np.array(list(counts), np.int32), [len(own) for own in counts.values()])
         out = pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in keys], pa.binary()).cast(pa.string()), pa.array([k for _, k in keys], pa.int32()),
-             pa.array(list(counts.values()), pa.int64())], names=["word", "class", "n"])
+            [pa.array(words, pa.binary()).cast(pa.string()), pa.array(kinds),
+             pa.array([n for own in counts.values() for n in own.values()], pa.int64())], names=["word", "class", "n"])
         counts.clear()
         return out
 
     for batch in batches:
         for part in steps([batch], "text"):
             for k, text in zip(part.column("class").to_pylist(), raw(part, "text")):
-                for w, n in Counter(tokens(text)).items():
-                    counts[w, k] += n
-            if len(counts) > _FLUSH:
+                counts.setdefault(k, Counter()).update(tokens(text))
+            if sum(map(len, counts.values())) > _FLUSH:
                 yield flush()
     if counts:
         yield flush()
@@ -100,6 +100,19 @@ def fit_pieces(words: DataFrame, content: bytes, rounds: int = 2) -> bytes:
     return logs.tobytes()
 
 
+def _spell(shared):
+    """Log probability of each word over all its segmentations."""
+
+    def run(batches):
+        for batch in batches:
+            words = [MARK + w for w in batch.column("word").to_pylist()]
+            found = [_lattice(*shared.value).forward(words[i:i + 20_000]) for i in range(0, len(words), 20_000)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))],
+                                             names=["word", "pairs", "spelled"])
+
+    return run
+
+
 def _block_words(_, block):
     found = sorted(set().union(*map(tokens, raw(block, "text"))))
     number = block.column("block")[0].as_py()
@@ -118,10 +131,11 @@ def _score_block(shared):
         lengths = pairs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = pairs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
         counts[np.repeat(known.column("i").to_numpy(), lengths // 2), flat[:, 0]] = flat[:, 1]
-        lattice = _lattice(content, logs)
-        spelled = [np.zeros(0)] + [lattice.forward([MARK + w.decode() for w in found[i:i + 20_000]])
-                                   for i in range(0, size, 20_000)]
-        spelled = np.concatenate(spelled)
+        spelled = np.full(size, np.nan)
+        spelled[known.column("i").to_numpy()] = known.column("spelled").to_numpy()
+        new = np.flatnonzero(np.isnan(spelled))  # words that nothing was learned of
+        for i in range(0, len(new), 20_000):
+            spelled[new[i:i + 20_000]] = _lattice(content, logs).forward([MARK + found[j].decode() for j in new[i:i + 20_000]])
         logp, end = np.empty(counts.shape), np.empty(counts.shape[1])
         for k, (docs, n, v) in enumerate(classes or [(1, 2, 1 / DISCOUNT)]):  # nothing learned: pieces, or the end
             with np.errstate(divide="ignore"):
@@ -155,8 +169,9 @@ def score_documents(docs: DataFrame, model_path: str, *, learn: Column, kind: st
     over whole words; each text ends with one end token. Null texts are empty. Words are counted over all
     rows learned from. With none, scores are those of the vocabulary alone. An empty table gives no rows.
 
-    Words are counted with partial sums inside tasks. Documents are dealt to blocks by a hash of id and text; the
-    distinct words of a block meet their counts in one join, and come back as small numbers.
+    Words are counted with partial sums inside tasks, and each word learned is read through its lattice once. Documents
+    are dealt to blocks by a hash of id and text; the distinct words of a block meet their counts and log probability
+    in one join, and come back as numbers. Only words that nothing was learned of are read in the blocks.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as file:
@@ -180,12 +195,14 @@ def score_documents(docs: DataFrame, model_path: str, *, learn: Column, kind: st
     classes = [(of_class[name], (found[f"n{k}"] or 0) + of_class[name], found[f"v{k}"]) for k, name in enumerate(names)]
     n_all, v_all = sum(n for _, n, _ in classes), found["v"] + (docs_all > 0)
     logs = fit_pieces(counts, content)
+    pieces = spark.sparkContext.broadcast((content, logs))
+    learned = counts.select("word", "pairs").mapInArrow(_spell(pieces), "word string, pairs array<long>, spelled double")
     shared = spark.sparkContext.broadcast((content, logs, classes, n_all, v_all, docs_all))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)).alias("block")
     dealt = rows.select(block, "doc_id", (~F.col("learned")).alias("held_out"), "text")
     asked = dealt.groupBy("block").applyInArrow(_block_words, "block long, i int, word string")
-    known = asked.join(counts.select("word", "pairs"), "word").select("block", "i", "pairs")
+    known = asked.join(learned, "word").select("block", "i", "pairs", "spelled")
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         _score_block(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))

@@ -8,6 +8,8 @@ product of a segment's transition matrices carries its neighbours' state over it
 
 from __future__ import annotations
 
+import sys
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,15 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlore.llm.rolling import mix
-from sessionlore.llm.texts import fields, map_texts, packed
+from sessionlore.llm.texts import fields, holding, map_texts, packed
 
 #: Weight rows shared by hashed features.
 FEATURES = 1 << 16
 #: Labelled documents that the model is fitted on, for each language, and words taken from each.
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 300, 80
+#: Characters of a piece taken from a document, whatever its words.
+SAMPLE_CHARACTERS = 2000
 LEXICON = 400
 SEGMENT = 128
-REMEMBERED = 300_000
+#: Bytes of words, with their scores, that a worker remembers, and of text that it reads at once.
+REMEMBERED, STEP = 24 << 20, 1 << 20
 UNDETERMINED = "und"
 PREDICTED = fields("lang_pred string, score double, n_words bigint, n_switches bigint")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -39,11 +44,8 @@ class Model:
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, list[int]]
-    cache: dict[str, int] = field(default_factory=dict, repr=False)
-    emissions: list[np.ndarray] = field(default_factory=list, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "emissions": []}
+    #: Distinguishes models, so that a worker remembers words of the latest one only.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Weight sums of each word for each language."""
@@ -54,20 +56,32 @@ class Model:
         return out
 
     def emit(self, split: list[list[str]]) -> np.ndarray:
-        """Scores of all words of all texts; a worker remembers the words it has met."""
-        if len(self.cache) > REMEMBERED:
-            self.cache.clear()
-            self.emissions.clear()
-        new = list(set().union(*split).difference(self.cache))
+        """Scores of all words of all texts; a worker remembers the words it has met, up to a number of bytes."""
+        holding(__name__, _memory.__init__)
+        if _memory.name != self.name or _memory.size > REMEMBERED:
+            _memory.__init__(self.name)
+        known = _memory.known
+        new = list(set().union(*split).difference(known))
         if new:
-            start = len(self.cache)
-            self.cache.update(zip(new, range(start, start + len(new))))
-            self.emissions.append(self.scores(new))
-            if len(self.emissions) > 1:
-                self.emissions[:] = [np.concatenate(self.emissions)]
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            _memory.scores.append(self.scores(new))
+            _memory.size += sum(map(sys.getsizeof, new)) + 120 * len(new) + _memory.scores[-1].nbytes
+            _memory.scores[:] = [np.concatenate(_memory.scores)]
         total = sum(map(len, split))
-        at = np.fromiter((i for words in split for i in map(self.cache.__getitem__, words)), np.int64, total)
-        return self.emissions[0][at] if total else np.zeros((0, len(self.languages)))
+        at = np.fromiter((i for words in split for i in map(known.__getitem__, words)), np.int64, total)
+        return _memory.scores[0][at] if total else np.zeros((0, len(self.languages)))
+
+
+class _Memory:
+    """Words met by this worker under one model, and their scores."""
+
+    def __init__(self, name: str = ""):
+        self.name, self.size = name, 0
+        self.known: dict[str, int] = {}
+        self.scores: list[np.ndarray] = []
+
+
+_memory = _Memory()
 
 
 def words_of(text: str) -> list[str]:
@@ -236,7 +250,9 @@ def fit(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.5, decay:
 def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
     """A bounded sample of labelled rows: about ``SAMPLE_DOCUMENTS`` of each language, ``SAMPLE_WORDS`` words of each.
 
-    Languages are counted over all rows; a row is drawn by its hash with the chance that the count gives.
+    Languages are counted over all rows; a row is drawn by a hash of its key and text with the chance that the count
+    gives, so that rows without key or with equal keys are drawn apart. Of rows equal in all of these one is drawn. A
+    piece has ``SAMPLE_CHARACTERS`` characters at most, also in scripts without blanks.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where(
         "lang IS NOT NULL AND text IS NOT NULL")
@@ -244,12 +260,15 @@ def training_rows(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
     if not counts:
         return []
     chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], SAMPLE_DOCUMENTS / r["count"])])
-    draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.where(draw < chance[F.col("lang")])
+    draw = F.pmod(F.xxhash64("key", "text", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
     words = F.split("text", r"[ \t-\r]+")
-    at = F.floor(F.pmod(F.xxhash64("key", F.lit(5)), F.greatest(F.size(words) - SAMPLE_WORDS, F.lit(0)).cast("long") + 1))
-    piece = F.array_join(F.slice(words, (at + 1).cast("int"), SAMPLE_WORDS), " ")
-    return [(r.piece, r.lang) for r in drawn.select(piece.alias("piece"), "lang", "key").orderBy("key", "lang", "piece").collect()]
+    place = lambda seed, size, most: F.pmod(
+        F.xxhash64("key", "text", F.lit(seed)), F.greatest(size - most, F.lit(0)).cast("long") + 1).cast("int") + 1
+    few = F.array_join(F.slice(words, place(5, F.size(words), SAMPLE_WORDS), SAMPLE_WORDS), " ")
+    drawn = rows.where(draw < chance[F.col("lang")]).select("lang", F.xxhash64("key", "text").alias("key"), few.alias("text"))
+    piece = F.substring("text", place(7, F.length("text"), SAMPLE_CHARACTERS), F.lit(SAMPLE_CHARACTERS))
+    found = drawn.select(piece.alias("piece"), "lang", "key").distinct().orderBy("key", "lang", "piece").collect()
+    return [(r.piece, r.lang) for r in found]
 
 
 def predict(model: Model, texts: list[bytes | None]) -> list[list]:
@@ -289,7 +308,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Only the text is read. The model, of fixed size, is broadcast; there is no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, PREDICTED, lambda texts: predict(shared.value, texts), text)
+    return map_texts(docs, PREDICTED, lambda texts: predict(shared.value, texts), text, STEP)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

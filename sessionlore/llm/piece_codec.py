@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from functools import lru_cache
 from hashlib import sha256
 
@@ -17,14 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlore.llm.texts import PairTable, fields, map_texts
+from sessionlore.llm.texts import PairTable, fields, holding, map_texts
 
 MARK = "▁"
 _MARK = MARK.encode()
 ENCODED = fields("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 WITH_IDS = fields("n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>")
-#: Words remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of words and ids that a worker remembers before it starts anew, and of text that it reads at once.
+REMEMBERED, STEP = 40 << 20, 2 << 20
 _NONE = np.int64(1) << 40
 #: Kinds of pieces in a model file.
 _NORMAL, _USER, _UNUSED, _BYTE = 1, 4, 5, 6
@@ -76,6 +77,7 @@ class PieceModel:
         #: Ids of the words met, and the decoded text of those whose decoded text differs from them.
         self.words: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.held = 0
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words that already carry their space marks."""
@@ -192,7 +194,8 @@ class PieceModel:
         marked = [w if w[0] == MARK or w[0] == "\n" and self.breaks else MARK + w for w in new]
         name, text = self.names.__getitem__, self.texts.__getitem__
         for w, m, ids in zip(new, marked, self.encode_words(marked)):
-            self.words[w] = ",".join(map(name, ids))
+            self.words[w] = joined = ",".join(map(name, ids))
+            self.held += sys.getsizeof(w) + sys.getsizeof(joined) + 100
             if "".join(map(text, ids)) != m and (decoded := self._decode(ids)) != m.replace(MARK, " "):
                 self.odd[w] = decoded
 
@@ -205,9 +208,10 @@ class PieceModel:
 
     def digests(self, texts: list[bytes | None], whole: bool = False) -> list[list]:
         """Columns of ``ENCODED``, or with ``whole`` those of ``WITH_IDS``."""
-        if len(self.words) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.words.clear()
             self.odd.clear()
+            self.held = 0
         split = [self.split(t.decode()) if t else [] for t in texts]
         self.learn(set().union(*split))
         get, odd, counts, ids, decoded, arrays = self.words.__getitem__, self.odd, [], [], [], []
@@ -264,8 +268,12 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: boo
     """
     with open(model_path, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
-    return map_texts(docs, WITH_IDS if ids else ENCODED,
-                     lambda texts: _model(content.value).digests(texts, ids), text)
+
+    def compute(texts):
+        holding(__name__, _model.cache_clear)
+        return _model(content.value).digests(texts, ids)
+
+    return map_texts(docs, WITH_IDS if ids else ENCODED, compute, text, STEP)
 
 
 def decode_ids(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,10 +50,33 @@ def map_texts(rows: DataFrame, fields: T.StructType, compute: Callable[[list], l
         for batch in steps(batches, text, limit):
             found = compute(raw(batch, text))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(_arrow, found, fields)], names=names)
+            found = None
+        give_back()
 
     return rows.mapInArrow(run, T.StructType(rows.schema.fields + fields.fields))
 
 
+_holder: list = ["", None]
+
+
+def holding(name: str, drop: Callable[[], None]) -> None:
+    """Say that ``name`` keeps things in this worker between batches, which ``drop`` lets go; those of others go now."""
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, drop]
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Whole rows in the column ``row`` beside ``text``, so that no column of theirs can clash with new ones."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))

@@ -165,10 +165,12 @@ def agg_describe(t):
 @query("agg_corr", " UNION ALL ".join(f"""
 SELECT '{x}' AS feature,
        round(covar_pop({x}, l_extendedprice) / nullif(stddev_pop({x}) * stddev_pop(l_extendedprice), 0), 6) AS correlation
-FROM (SELECT *, 1.0::DOUBLE AS one FROM lineitem)""" for x in [*NUMERIC, "l_linenumber", "one"]))
+FROM (SELECT *, 1.0::DOUBLE AS one FROM lineitem)"""
+                                   for x in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMERIC, "one"]))
 def agg_corr(t):
+    """All numeric columns of the table, and a constant one."""
     rows = t["lineitem"].withColumn("one", F.lit(1.0))
-    return rounded(st.correlations(rows, [*NUMERIC, "l_linenumber", "one"], "l_extendedprice"))
+    return rounded(st.correlations(rows, st.numeric_columns(rows), "l_extendedprice"))
 
 
 @query("agg_confusion", """

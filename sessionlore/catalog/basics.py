@@ -352,7 +352,7 @@ def _title_means(t):
 SELECT {PAIR}, round(mean_time, 0) AS mean_time, round(mean_attempts, 6) AS mean_attempts
 FROM assess JOIN title_means USING (title)"""))
 def join_dim(t):
-    joined = t.written_assessments.select(*KEYS, "title").join(_title_means(t), "title")
+    joined = tb.join_counted(t.written_assessments.select(*KEYS, "title"), _title_means(t), "title")
     return rounded(joined.select(*KEYS, "mean_time", "mean_attempts"), mean_time=0)
 
 

@@ -1,7 +1,6 @@
 """Queries on sampling, models, ensembles and agreement.
 
-Bagged votes, stacking, tuning, boosting, the network and the logistic model run at the full sizes, the
-defaults of the plans, and take long; the other forests are small. Fitted results have no SQL, the steps
+Models, votes, stacking, selection and tuning run at their recorded sizes. Fitted results have no SQL, the steps
 around the fits do.
 """
 
@@ -9,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from sessionlore.catalog.base import Tables, query, rounded
@@ -26,6 +26,8 @@ from sessionlore.sources import files
 from sessionlore.sources.play_view import ALL_TITLES
 
 PAIR = "installation_id, game_session"
+#: Columns that tell feature rows apart.
+ROW = [*KEYS, "month", "hour", "year", "dayofweek"]
 
 
 class Learning:
@@ -46,9 +48,6 @@ class Learning:
     def test(self):
         return materialize(m.assemble(self.predict, self.columns))
 
-    def keyed(self, df):
-        return df.withColumn("row_key", F.xxhash64(*KEYS, "month", "hour", "year", "dayofweek"))
-
     def predictions(self, model):
         return model.fit(self.train).transform(self.test).select(*KEYS, m.LABEL, "prediction")
 
@@ -143,40 +142,40 @@ def sel_corr_table(t):
 @query("sel_rfe")
 def sel_rfe(t):
     data = Learning(t)
-    return e.elimination_table(data.score, data.columns, 3, lambda: m.forest(5, 4))
+    return e.elimination_table(data.score, data.columns, 3)
 
 
 @query("sel_rfe_sweep")
 def sel_rfe_sweep(t):
     data = Learning(t)
-    return e.elimination_sweep(data.score, data.predict, data.columns, lambda: m.forest(5, 4))[0]
+    return e.elimination_sweep(data.score, data.predict, data.columns)[0]
 
 
 @query("feat_importance")
 def feat_importance(t):
     data = Learning(t)
-    return m.importance_table(t.spark, m.forest(10, 5).fit(data.train), data.columns)
+    return m.importance_table(t.spark, m.forest_of("bake_off").fit(data.train), data.columns)
 
 
 @query("sort_desc")
 def sort_desc(t):
     """Importances from the largest down."""
     data = Learning(t)
-    return m.importance_table(t.spark, m.tree(5).fit(data.train), data.columns)
+    return m.importance_table(t.spark, m.tree().fit(data.train), data.columns)
 
 
 # ---- models -----------------------------------------------------------------------------------
 
 _MODELS = {
-    "fit_forest": lambda d: m.forest(10, 6),
+    "fit_forest": lambda d: m.forest_of("tuned"),
     "fit_gbt_multi": lambda d: m.boosted_multi(),
-    "fit_tree": lambda d: m.tree(6),
-    "fit_bagging": lambda d: m.bagging(5, 6),
-    "fit_extra_trees": lambda d: m.extra_trees(5, 6),
-    "fit_adaboost": lambda d: m.BoostedStumps(),
+    "fit_tree": lambda d: m.tree(),
+    "fit_bagging": lambda d: m.bagging(),
+    "fit_extra_trees": lambda d: m.extra_trees(),
+    "fit_adaboost": lambda d: m.boosted_stumps(),
     "fit_logistic": lambda d: m.logistic(),
     "fit_mlp": lambda d: m.network(len(d.columns), 4),
-    "ens_ordinal": lambda d: m.Ordinal(m.forest(5, 5)),
+    "ens_ordinal": lambda d: m.Ordinal(m.forest_of("small")),
 }
 
 
@@ -209,8 +208,7 @@ def fit_knn(t):
 @query("fit_knn_features")
 def fit_knn_features(t):
     data = Learning(t)
-    model = m.NearestVote(8).fit(data.keyed(data.train))
-    return model.transform(data.keyed(data.test)).select(*KEYS, "prediction")
+    return m.NearestVote(8, ROW).fit(data.train).transform(data.test).select(*KEYS, "prediction")
 
 
 @query("ens_ordinal_shares", """
@@ -251,7 +249,7 @@ def ens_vote_weighted(t):
 @query("ens_vote_models")
 def ens_vote_models(t):
     data = Learning(t)
-    fitted = {"forest": m.forest(5, 5).fit(data.train), "logistic": m.logistic(10).fit(data.train)}
+    fitted = {"forest": m.forest_of("bake_off").fit(data.train), "logistic": m.logistic().fit(data.train)}
     return e.vote(fitted, data.test, KEYS)
 
 
@@ -267,42 +265,42 @@ def stk_fold(t):
 @query("stk_oof")
 def stk_oof(t):
     data = Learning(t)
-    models = e.base_models()
-    rows = e.out_of_fold(data.keyed(data.train), models, "row_key", 4)
+    models = e.base_models(ROW)
+    rows = e.out_of_fold(data.train, models, ROW, 4)
     width = 4 * len(models)
-    return rows.select("row_key", "fold", m.LABEL, *[F.round(F.col("meta")[i], 6).alias(f"m{i}") for i in range(width)])
+    return rows.select(*ROW, "fold", m.LABEL, *[F.round(F.col("meta")[i], 6).alias(f"m{i}") for i in range(width)])
 
 
 @query("stk_fit_base")
 def stk_fit_base(t):
     """Accuracy of each base model, fitted to all rows, on the rows to predict."""
     data = Learning(t)
-    fitted = e.fit_base(data.keyed(data.train), e.base_models())
-    rows = e.long_predictions(fitted, data.keyed(data.test), ["row_key"], [m.LABEL])
+    fitted = e.fit_base(data.train, e.base_models(ROW), 4)
+    rows = e.long_predictions(fitted, data.test, ROW, [m.LABEL])
     return e.score_models(rows).select("model", "accuracy")
 
 
-def _stack(t):
-    data = Learning(t)
-    train, test = data.keyed(data.train), data.keyed(data.test)
-    models = e.base_models()
-    meta = materialize(e.out_of_fold(train, models, "row_key", 4))
-    return data, e.fit_base(train, models), meta, test
+def _meta(data):
+    """The out-of-fold rows, written, and the meta-model fitted to them."""
+    meta = materialize(e.out_of_fold(data.train, e.base_models(ROW), ROW, 4))
+    return meta, e.fit_meta(meta)
 
 
 @query("stk_fit_meta")
 def stk_fit_meta(t):
     """The meta-model's view of the out-of-fold rows."""
-    from pyspark.ml.functions import array_to_vector
-    _, _, meta, _ = _stack(t)
-    model = e.fit_meta(meta)
-    return model.transform(meta.withColumn(m.FEATURES, array_to_vector("meta"))).select("row_key", m.LABEL, "prediction")
+    meta, model = _meta(Learning(t))
+    return model.transform(meta.withColumn(m.FEATURES, array_to_vector("meta"))).select(*ROW, m.LABEL, "prediction")
+
+
+def _stacked(data):
+    _, model = _meta(data)
+    return e.stacked_predict(data.test, e.fit_base(data.train, e.base_models(ROW), 4), model, ROW, 4)
 
 
 @query("stk_predict")
 def stk_predict(t):
-    _, fitted, meta, test = _stack(t)
-    return e.stacked_predict(test, fitted, e.fit_meta(meta), "row_key", 4)
+    return _stacked(Learning(t))
 
 
 # ---- tuning -----------------------------------------------------------------------------------
@@ -316,13 +314,13 @@ def tune_trees(t):
 @query("tune_random_search")
 def tune_random_search(t):
     data = Learning(t)
-    return e.random_search(data.train)
+    return e.random_search(data.train, ROW)
 
 
 @query("ev_permutation")
 def ev_permutation(t):
     data = Learning(t)
-    model = m.forest(5, 5).fit(data.train)
+    model = m.forest_of("bake_off").fit(data.train)
     return e.permutation_importance(model, data.predict, data.columns, KEYS)
 
 
@@ -457,4 +455,22 @@ def _submitted(t, predictions):
 def job_holdout(t):
     """Entry 1: the basic features of each player's earlier assessments, one forest, the last ones predicted."""
     data = Learning(t)
-    return _submitted(t, data.predictions(m.forest(10, 6)))
+    return _submitted(t, data.predictions(m.forest_of("holdout")))
+
+
+@query("job_stacked")
+def job_stacked(t):
+    """Entry 3: stacked features, six base models over ten folds, the meta-model's predictions as a submission file."""
+    return _submitted(t, _stacked(Learning(t)))
+
+
+@query("job_trimmed")
+def job_trimmed(t):
+    """Entry 4: the trimmed features, a random search over three folds, a forest of its best settings as a submission file."""
+    table = assemble.create_features(t.log, ALL_TITLES, assemble.TRIMMED, t.hot)
+    final = materialize(assemble.with_labels(table, t.labels))
+    last, earlier = map(materialize, holdout.split_last(final))
+    columns = assemble.feature_columns(final)
+    train, test = (materialize(m.assemble(d, columns)) for d in (earlier, last))
+    best = e.best_settings(e.random_search(train, KEYS))
+    return _submitted(t, m.Trees(best).fit(train).transform(test))

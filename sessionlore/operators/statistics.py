@@ -103,11 +103,18 @@ def correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame
     return wide.select(F.inline(pairs))
 
 
+#: Ratings between the lowest and the highest up to which a grid of them is made; a stray value beyond is an error.
+MOST_RATINGS = 1000
+
+
 def _range(cells: DataFrame, columns: Sequence[str], lowest: int | None, highest: int | None) -> tuple[int, int]:
     ends = [f(c) for c in columns for f in (F.min, F.max)]
     found = [v for v in cells.agg(*ends).first() if v is not None]
     low, high = [v for v in (lowest, *found) if v is not None], [v for v in (highest, *found) if v is not None]
-    return min(low, default=0), max(high, default=0)
+    low, high = min(low, default=0), max(high, default=0)
+    if high - low >= MOST_RATINGS:
+        raise ValueError(f"ratings from {low} to {high}: more than {MOST_RATINGS} classes")
+    return low, high
 
 
 def confusion(df: DataFrame, a: str, b: str, lowest: int | None = None, highest: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlore.functions.catalogue import KEYS, PLAYER, SESSION
+from sessionlore.session import materialize
 
 
 def attach_group(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
@@ -28,6 +29,16 @@ def in_both(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.join(sessions, SESSION, "left_semi").join(players, PLAYER, "left_semi")
 
 
+#: Rows of a reduced table up to which it is sent to all tasks.
+FEW = 100_000
+
+
+def join_counted(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """Inner join with a reduced table, written and counted first: broadcast where it is small, else shuffled."""
+    dim = materialize(dim)
+    return df.join(F.broadcast(dim) if dim.count() <= FEW else dim, on)
+
+
 def not_in_sessions(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.join(other.select(SESSION).distinct(), SESSION, "left_anti")
 

@@ -20,6 +20,7 @@ from sessionlore.functions.scalars import round_int, row_sum, safe_divide, strip
 from sessionlore.operators.history import (
     PREVIOUS, Before, Blocks, History, Mean, Peak, Position, Running, Spread, Total,
 )
+from sessionlore.operators.tables import join_counted
 from sessionlore.plans.sessions import END_ORDER, ENDS_ORDER, START_ORDER, numbered_ends, only_assessments
 
 INSTALLATION, GLOBAL = "installation", "global"
@@ -380,7 +381,7 @@ def overall_by_title(assessments: DataFrame) -> DataFrame:
 
 
 def overall_title(assessments: DataFrame) -> DataFrame:
-    """The measures of each assessment's title. Spark broadcasts them if they prove small."""
-    return assessments.select(*KEYS, "title").join(overall_by_title(assessments), "title").drop("title")
+    """The measures of each assessment's title."""
+    return join_counted(assessments.select(*KEYS, "title"), overall_by_title(assessments), "title").drop("title")
 
 

@@ -1,40 +1,34 @@
 """Classifiers over a feature table: a column of features, a column ``label``.
 
 A model here has ``fit(df)`` and gives something with ``transform(df)`` that adds ``prediction``
-and, except for one-against-rest boosting, the vector ``probability``.
+and the vector ``probability``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-    OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlore.operators.nearest import nearest
-from sessionlore.session import materialize
+from sessionlore.plans.trees import Settings, Trees
 
 FEATURES, LABEL = "features", "label"
-DEEPEST = 30  # limit of the tree trainer, which stands for "no limit"; a deeper setting is an error
 
-# Recorded settings of the forests: number of trees and what else was set. The tuned depth of 80 is beyond the
-# trainer and taken as no limit.
+# Recorded settings of the forests: number of trees and what else was set.
 FOREST_SETTINGS = {
-    "holdout": {"numTrees": 1000},
-    "bake_off": {"numTrees": 83},
-    "selection": {"numTrees": 50},
-    "small": {"numTrees": 33},
-    "bagged": {"numTrees": 10_000, "maxDepth": 6},
-    "tuned": {"numTrees": 1400, "maxDepth": None, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt"},
+    "holdout": Settings(1000),
+    "bake_off": Settings(83),
+    "selection": Settings(50),
+    "small": Settings(33),
+    "bagged": Settings(10_000, depth=6),
+    "tuned": Settings(1400, depth=80, leaf=4, split=5),
 }
 
 
@@ -45,38 +39,35 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str = "accuracy_group
     return out.withColumn(LABEL, F.col(label).cast("double")) if label in df.columns else out
 
 
-def _depth(depth: int | None) -> int:
-    """A depth that the trainer can reach; ``None`` for no limit."""
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"depth {depth} is above the trainer's limit of {DEEPEST}")
-    return DEEPEST if depth is None else depth
+def forest(trees: int = 100, depth: int | None = None, seed: int = 42, **more) -> Trees:
+    return Trees(Settings(trees, depth, seed=seed, **more))
 
 
-def forest(trees: int = 100, depth: int = DEEPEST, seed: int = 42, **more) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, maxDepth=_depth(depth), seed=seed, **more)
+def forest_of(name: str, seed: int = 42) -> Trees:
+    return Trees(FOREST_SETTINGS[name]).copy(seed=seed)
 
 
-def forest_of(name: str, seed: int = 42) -> RandomForestClassifier:
-    settings = dict(FOREST_SETTINGS[name])
-    return forest(settings.pop("numTrees"), settings.pop("maxDepth", None), seed, **settings)
+def boosted_multi(rounds: int = 100, depth: int = 3, seed: int = 42) -> Trees:
+    """Boosted trees for several classes: in each round one regression tree per class on what is left of it."""
+    return Trees(Settings(rounds, depth, "all", kind="softmax", seed=seed))
 
 
-def boosted_multi(rounds: int = 100, depth: int = 3, seed: int = 42) -> OneVsRest:
-    """Boosted trees for several classes, one against the rest."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed))
+def tree(depth: int | None = None, seed: int = 42) -> Trees:
+    return Trees(Settings(1, depth, "all", draw=False, seed=seed))
 
 
-def tree(depth: int = DEEPEST, seed: int = 42) -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(maxDepth=depth, seed=seed)
+def bagging(trees: int = 10, depth: int | None = None, seed: int = 42) -> Trees:
+    return Trees(Settings(trees, depth, "all", seed=seed))
 
 
-def bagging(trees: int = 10, depth: int = DEEPEST, seed: int = 42) -> RandomForestClassifier:
-    return forest(trees, depth, seed, featureSubsetStrategy="all")
+def extra_trees(trees: int = 10, depth: int | None = None, seed: int = 42) -> Trees:
+    """Trees on all rows with random features, each with one random threshold."""
+    return Trees(Settings(trees, depth, draw=False, drawn_thresholds=True, seed=seed))
 
 
-def extra_trees(trees: int = 10, depth: int = DEEPEST, seed: int = 42) -> RandomForestClassifier:
-    """Trees on all rows with random features; split points are searched, not drawn."""
-    return forest(trees, depth, seed, bootstrap=False)
+def boosted_stumps(rounds: int = 50, depth: int = 1, seed: int = 42) -> Trees:
+    """Multi-class boosting of one-split trees, each fitted to rows reweighted by the misses so far."""
+    return Trees(Settings(rounds, depth, "all", kind="stumps", seed=seed))
 
 
 def logistic(iterations: int = 100) -> LogisticRegression:
@@ -111,93 +102,39 @@ def shares(scores: Column) -> Column:
     return F.transform(scores, lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
 
 
-@dataclass
-class BoostedStumps:
-    """Multi-class boosting of one-split trees, each fitted to rows reweighted by the misses so far."""
-
-    rounds: int = 50
-    depth: int = 1
-    seed: int = 42
-
-    def fit(self, df: DataFrame) -> BoostedStumpsModel:
-        classes = int(max(classes_of(df))) + 1
-        data = materialize(df.select(FEATURES, LABEL).withColumn("_w", F.lit(1.0)))
-        members = []
-        for step in range(self.rounds):
-            stump = DecisionTreeClassifier(maxDepth=self.depth, weightCol="_w", seed=self.seed + step).fit(data)
-            missed = (F.col("prediction") != F.col(LABEL)).cast("double")
-            scored = stump.transform(data).select(FEATURES, LABEL, "_w", missed.alias("_miss"))
-            total, wrong = scored.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_miss"))).first()
-            error = wrong / total
-            if error >= 1 - 1 / classes:
-                if not members:
-                    members.append((1.0, stump))
-                break
-            say = math.log((1 - max(error, 1e-10)) / max(error, 1e-10)) + math.log(max(classes - 1, 1))
-            members.append((say, stump))
-            if error <= 1e-10:
-                break
-            heavier = F.col("_w") * F.exp(F.lit(say) * F.col("_miss"))
-            data = materialize(scored.select(FEATURES, LABEL, (heavier / total).alias("_w")))
-        return BoostedStumpsModel(members, classes)
-
-
-@dataclass
-class BoostedStumpsModel:
-    members: list
-    classes: int
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out, names = df, []
-        for i, (say, stump) in enumerate(self.members):
-            model = stump.copy()
-            model.setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("")
-            out = model.transform(out)
-            names.append((say, f"_p{i}"))
-        scores = F.array(*[
-            sum((F.when(F.col(n) == c, say).otherwise(0.0) for say, n in names), F.lit(0.0))
-            for c in range(self.classes)
-        ])
-        out = out.withColumn("_scores", scores)
-        return out.withColumns({
-            "prediction": first_largest(F.col("_scores")), "probability": array_to_vector(shares(F.col("_scores"))),
-        }).drop("_scores", *[n for _, n in names])
-
-
 @dataclass
 class NearestVote:
-    """Vote of the k nearest rows; ``key`` names the rows to classify and the known ones."""
+    """Vote of the k nearest rows; ``key`` names the columns that tell rows apart."""
 
     k: int = 5
-    key: str = "row_key"
+    key: Sequence[str] = ("row_key",)
 
     def fit(self, df: DataFrame) -> NearestVoteModel:
-        return NearestVoteModel(df.select(self.key, FEATURES, LABEL), self.k, self.key, int(max(classes_of(df))) + 1)
+        return NearestVoteModel(df.select(*self.key, FEATURES, LABEL), self.k, list(self.key), int(max(classes_of(df))) + 1)
 
 
 @dataclass
 class NearestVoteModel:
     known: DataFrame
     k: int
-    key: str
+    key: list
     classes: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        def side(d):
-            return d.select(F.col(self.key).alias("id"), vector_to_array(FEATURES).alias("vector"))
+        name = F.to_json(F.struct(*self.key))  # the key itself, as one value
 
-        known = self.known.select(
-            F.col(self.key).alias("id"), vector_to_array(FEATURES).alias("vector"), LABEL
-        )
-        found = nearest(known, side(df), self.k)
-        votes = found.groupBy(F.col("query").alias(self.key)).agg(*[
+        def side(d, *more):
+            return d.select(name.alias("id"), vector_to_array(FEATURES).alias("vector"), *more)
+
+        found = nearest(side(self.known, LABEL), side(df), self.k)
+        votes = found.groupBy(F.col("query").alias("_id")).agg(*[
             F.sum((F.col(LABEL) == c).cast("double")).alias(f"v{c}") for c in range(self.classes)
         ]).withColumn("_votes", F.array(*[f"v{c}" for c in range(self.classes)]))
         votes = votes.select(
-            self.key, first_largest(F.col("_votes")).alias("prediction"),
+            "_id", first_largest(F.col("_votes")).alias("prediction"),
             array_to_vector(shares(F.col("_votes"))).alias("probability"),
         )
-        return df.join(votes, self.key)
+        return df.withColumn("_id", name).join(votes, "_id").drop("_id")
 
 
 @dataclass

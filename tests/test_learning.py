@@ -80,8 +80,8 @@ def score(model, points):
 
 MODELS = {
     "forest": lambda: m.forest(5, 5), "tree": lambda: m.tree(4), "bagging": lambda: m.bagging(3, 4),
-    "extra": lambda: m.extra_trees(3, 4), "logistic": lambda: m.logistic(20), "stumps": lambda: m.BoostedStumps(5),
-    "nearest": lambda: m.NearestVote(5), "ordinal": lambda: m.Ordinal(m.logistic(20)),
+    "extra": lambda: m.extra_trees(3, 4), "logistic": lambda: m.logistic(20), "stumps": lambda: m.boosted_stumps(5),
+    "nearest": lambda: m.NearestVote(5, ["row_key"]), "ordinal": lambda: m.Ordinal(m.logistic(20)),
     "boosted": lambda: m.boosted_multi(2, 2), "network": lambda: m.network(3, 4, (5,), 40),
 }
 
@@ -102,21 +102,21 @@ def test_ordinal_needs_three_classes(points):
 
 
 def test_stack(points):
-    models = {"tree": m.tree(3), "logistic": m.logistic(10)}
-    meta = e.out_of_fold(points, models, "row_key", 4, folds=3)
+    models = {"tree": m.tree(3), "logistic": m.logistic(10), "nearest": m.NearestVote(5, ["row_key"])}
+    meta = e.out_of_fold(points, models, ["row_key"], 4, folds=3)
     rows = meta.collect()
-    assert len(rows) == 240 and {len(r["meta"]) for r in rows} == {8} and {r["fold"] for r in rows} == {0, 1, 2}
-    fitted = e.fit_base(points, models)
-    out = e.stacked_predict(points, fitted, e.fit_meta(meta), "row_key", 4)
+    assert len(rows) == 240 and {len(r["meta"]) for r in rows} == {12} and {r["fold"] for r in rows} == {0, 1, 2}
+    fitted = e.fit_base(points, models, 4)
+    out = e.stacked_predict(points, fitted, e.fit_meta(meta), ["row_key"], 4)
     assert out.count() == 240 and {r["prediction"] for r in out.collect()} <= {0.0, 1.0, 2.0, 3.0}
 
 
 def test_selection(points):
     raw = points.drop("features", "label")
-    table = e.elimination_table(raw, ["a", "b", "c"], 1, lambda: m.forest(3, 3)).collect()
+    table = e.elimination_table(raw, ["a", "b", "c"], 1, m.forest(3, 3).settings).collect()
     assert sorted(r["ranking"] for r in table) == [1, 2, 3]
     assert e.correlated_columns(raw, ["a", "b"], "accuracy_group") == ["a", "b"]
-    sweep, best = e.elimination_sweep(raw, raw, ["a", "b"], lambda: m.forest(3, 3))
+    sweep, best = e.elimination_sweep(raw, raw, ["a", "b"], m.forest(3, 3).settings)
     assert sweep.count() == 2 and best in (1, 2)
 
 
@@ -138,9 +138,6 @@ class Rows:
     train = test = score = predict = "rows"
     columns = ["a", "b", "c"]
 
-    def keyed(self, df):
-        return df
-
     def predictions(self, model):
         return model
 
@@ -173,22 +170,24 @@ SIX = {"tree", "nearest", "stumps", "bagging", "forest", "extra"}
 @pytest.mark.parametrize("name", ["stk_oof", "stk_fit_meta", "stk_predict"])
 def test_stacking_queries_use_all_models_and_folds(asked, name):
     found = asked(name, "out_of_fold")
-    assert set(found["models"]) == SIX and found["folds"] == 10 and found["models"]["stumps"].rounds == 50
-    assert {found["models"][k].getNumTrees() for k in ("bagging", "forest", "extra")} == {10}
-    assert {found["models"][k].getMaxDepth() for k in ("tree", "bagging", "forest", "extra")} == {m.DEEPEST}
+    assert set(found["models"]) == SIX and found["folds"] == 10 and found["models"]["stumps"].settings.trees == 50
+    assert {found["models"][k].settings.trees for k in ("bagging", "forest", "extra")} == {10}
+    assert {found["models"][k].settings.depth for k in ("tree", "bagging", "forest", "extra")} == {None}
 
 
-def test_queries_run_at_full_size(spark, asked):
+def test_queries_run_at_full_size(spark, asked, monkeypatch):
     assert set(asked("stk_fit_base", "fit_base")["models"]) == SIX
     sweep = asked("tune_trees", "tree_sweep")
-    assert list(sweep["numbers"]) == list(range(1, 100)) and sweep["depth"] == m.DEEPEST
+    assert list(sweep["numbers"]) == list(range(1, 100))
     search = asked("tune_random_search", "random_search")
     assert search["draws"] == 100 and search["folds"] == 3 and (search["grid"] or e.SEARCH_GRID) == e.SEARCH_GRID
     for name, chained in (("smp_bagged_vote", False), ("smp_bagged_vote_chained", True)):
         vote = asked(name, "bagged_vote")
-        assert vote["rounds"] == 40 and vote["base"] is None and vote["chained"] is chained
+        assert vote["rounds"] == 40 and vote["settings"] is None and vote["chained"] is chained
+    monkeypatch.setattr(learning, "_submitted", lambda t, model: "sent" if model.settings.trees == 1000 else None)
     model = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert model("fit_gbt_multi").getClassifier().getMaxIter() == 100 and model("fit_adaboost").rounds == 50
+    assert model("fit_gbt_multi").settings.trees == 100 and model("fit_adaboost").settings.trees == 50
+    assert model("fit_forest").settings == m.FOREST_SETTINGS["tuned"] and model("job_holdout") == "sent"
     assert model("fit_logistic").getMaxIter() == 100
     network = model("fit_mlp").getStages()[-1]
     assert network.getLayers() == [3, 100, 4] and network.getMaxIter() == 200
@@ -203,4 +202,4 @@ def test_bagged_job_runs_at_full_size(monkeypatch):
         monkeypatch.setattr(module, name, stub)
     learning.job_bagged(MagicMock())
     (_, _, _, columns), more = vote.call_args
-    assert columns == ["a"] and more.get("rounds", 40) == 40 and more.get("base") is None
+    assert columns == ["a"] and more.get("rounds", 40) == 40 and more.get("settings") is None

@@ -34,8 +34,9 @@ def drop_bitmaps(docs: DataFrame, *, least_length: int = 20, least_documents: in
     more go from all of them but the one with the largest ``doc_id``. Rows without ``doc_id`` neither count
     nor lose lines; rows that share a ``doc_id`` count as one document. Documents that lose nothing are absent.
     """
-    each = (docs.where("doc_id IS NOT NULL")
-            .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines(F.col("text"))))
+    split = docs.where("doc_id IS NOT NULL").select(  # below the explode, so that the text is hashed once and left there
+        "doc_id", F.xxhash64("text").alias("text_hash"), lines(F.col("text")).alias("lines"))
+    each = (split.select("doc_id", "text_hash", F.posexplode("lines"))
             .select("doc_id", "text_hash", "pos", line_key(F.col("col")).alias("key"))
             .where(F.length("key") >= least_length))
     hashed = materialize(each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id",

@@ -97,3 +97,12 @@ def test_near_duplicates_tell_texts_that_share_an_id_apart(spark):
     assert sorted(kept, key=str) == sorted([(1, one), (1, two), (5, None), (5, "")], key=str)
     apart = spark.createDataFrame([(0, two), (1, one), (1, close)], "doc_id long, text string")
     assert sorted(map(tuple, hyperminhash.keep_first(apart, percent=80).collect())) == [(0, two), (1, one)]
+
+
+def test_long_texts_of_many_lines(spark):
+    shared = "a line that many of these documents share"
+    body = "\n".join(f"{shared} {k % 50}" if k % 2 else f"line {k} is found in one document only" for k in range(20_000))
+    docs = spark.createDataFrame([(i, body.replace("one", f"one{i}")) for i in range(3)], "doc_id long, text string")
+    found = {r.doc_id: (r.n, r.kept) for r in line_dedup.mark_lines(docs).select(
+        "row.doc_id", F.size("all_lines").alias("n"), F.size("kept_lines").alias("kept")).collect()}
+    assert found == {0: (20_000, 10_000), 1: (20_000, 10_000), 2: (20_000, 20_000)}

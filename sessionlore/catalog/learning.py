@@ -17,7 +17,7 @@ from sessionlore.functions.catalogue import KEYS, PLAYER
 from sessionlore.operators import statistics as st
 from sessionlore.operators.nearest import nearest
 from sessionlore.operators.sampling import rebalance
-from sessionlore.plans import assemble, holdout
+from sessionlore.plans import assemble, explain, holdout
 from sessionlore.plans import ensembles as e
 from sessionlore.plans import features as f
 from sessionlore.plans import models as m
@@ -190,6 +190,29 @@ for _name, _make in _MODELS.items():
     _register(_name, _make)
 
 
+_ONE_COLUMN = {
+    "adaboost": lambda: m.boosted_stumps(), "bagging": lambda: m.bagging(), "extra_trees": lambda: m.extra_trees(),
+    "forest": lambda: m.forest_of("small"), "gbt_multi": lambda: m.boosted_multi(), "logistic": lambda: m.logistic(),
+    "one_vs_rest": lambda: m.one_vs_rest_logistic(), "ordinal": lambda: m.Ordinal(m.forest_of("small")),
+    "tree": lambda: m.tree(),
+}
+
+
+@query("fit_majority", f"""
+WITH d AS (SELECT quality, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END AS label FROM labels),
+n AS (SELECT quality, label, count(*) AS n FROM d GROUP BY ALL),
+best AS (SELECT quality, label FROM n QUALIFY row_number() OVER (PARTITION BY quality ORDER BY n DESC, label) = 1)
+SELECT m.model, quality, CAST(label AS INTEGER) AS prediction FROM best,
+  (VALUES {", ".join(f"('{n}')" for n in _ONE_COLUMN)}) m(model)""")
+def fit_majority(t):
+    """Every trainer on one 0/1 column, where it can only say the most frequent class of each value."""
+    label = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).otherwise(0)
+    rows = materialize(m.assemble(t["labels"].select("quality", label.alias("accuracy_group")), ["quality"]))
+    asked = rows.select("quality", m.FEATURES).dropDuplicates(["quality"])
+    fitted = {name: make().fit(rows) for name, make in _ONE_COLUMN.items()}
+    return e.long_predictions(fitted, asked, ["quality"]).select("model", "quality", F.col("prediction").cast("int").alias("prediction"))
+
+
 @query("fit_knn", """
 WITH pairs AS (
   SELECT q.vec_id, p.label, row_number() OVER (PARTITION BY q.vec_id
@@ -324,6 +347,20 @@ def ev_permutation(t):
     return e.permutation_importance(model, data.predict, data.columns, KEYS)
 
 
+@query("ev_explain")
+def ev_explain(t):
+    """What each feature adds to each class's probability, row by row."""
+    data = Learning(t)
+    return explain.explain(m.forest_of("bake_off").fit(data.train), data.test, ROW, data.columns)
+
+
+@query("ev_explain_ranking")
+def ev_explain_ranking(t):
+    """Features by the mean size of what they add, over all rows and classes."""
+    data = Learning(t)
+    return explain.ranking(explain.explain(m.forest_of("bake_off").fit(data.train), data.test, ROW, data.columns))
+
+
 # ---- agreement --------------------------------------------------------------------------------
 
 _KAPPA_SQL = """

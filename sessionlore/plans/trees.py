@@ -27,7 +27,7 @@ BINS = 250
 #: Counted rows times features up to which the rows are sent to every task.
 ROWS_IN_TASK = 64 << 20
 #: Entries (row, tree, candidate) that a group of trees may have in a task, and nodes of a level in one Spark job.
-ENTRIES, NODES_IN_JOB = 3 << 20, 4096
+ENTRIES, NODES_IN_JOB = 384 << 10, 4096
 _U = np.uint64
 
 
@@ -298,14 +298,14 @@ def _candidates(keys: np.ndarray, features: int, settings: Settings) -> np.ndarr
 
 
 def _weight(stats: np.ndarray, squares: bool) -> np.ndarray:
-    return stats[:, 0] if squares else stats.sum(1)
+    return stats[:, 0] if squares else stats @ np.ones(stats.shape[1])
 
 
 def _score(stats: np.ndarray, squares: bool) -> np.ndarray:
     """What a side adds to the sum that the best split makes largest: less impurity, or less squared error."""
     if squares:
         return stats[:, 1] ** 2 / np.maximum(stats[:, 0], 1e-300)
-    return (stats ** 2).sum(1) / np.maximum(stats.sum(1), 1e-300)
+    return np.einsum("ij,ij->i", stats, stats) / np.maximum(_weight(stats, False), 1e-300)
 
 
 def choose(key, sums, totals, candidates, nodes, values, sizes, settings: Settings):
@@ -329,7 +329,9 @@ def choose(key, sums, totals, candidates, nodes, values, sizes, settings: Settin
     value = values[of, own]
     following = np.where(last, value, np.append(value[1:], 0.0))
     cut = (value + following) / 2
-    fine = ~last & (_weight(left, settings.squares) >= settings.leaf) & (_weight(rest, settings.squares) >= settings.leaf)
+    fine = ~last
+    if settings.leaf > 1 or settings.squares:
+        fine &= (_weight(left, settings.squares) >= settings.leaf) & (_weight(rest, settings.squares) >= settings.leaf)
     if settings.drawn_thresholds:
         stop = np.append(np.flatnonzero(head)[1:], len(key))[np.cumsum(head) - 1] - 1
         u = uniform(mix(mix(nodes[slot] + _U(7)) ^ mix(of.astype(np.uint64) + _U(11))))
@@ -414,7 +416,7 @@ def build(data_of: Callable, fit: Fit, first: int, count: int, values: np.ndarra
     if s.kind == "forest":
         seeds = tree_seeds(s, first, count)
         grown = grow(data_of(fit, seeds), seeds, values, s)
-        grown.value = grown.stats / np.maximum(grown.stats.sum(1), 1e-300)[:, None]
+        grown.value = _leaf_shares(grown.stats)
         return grown
     if s.kind == "stumps":
         return _boosted_stumps(data_of, fit, values, classes)
@@ -432,6 +434,10 @@ def build(data_of: Callable, fit: Fit, first: int, count: int, values: np.ndarra
     return model
 
 
+def _leaf_shares(stats: np.ndarray) -> np.ndarray:
+    return stats / np.maximum(stats.sum(1), 1e-300)[:, None]
+
+
 def _boosted_stumps(data_of, fit: Fit, values: np.ndarray, classes: int) -> Grown:
     model, s = None, fit.settings
     for step in range(s.trees):
@@ -562,25 +568,28 @@ def binned(df: DataFrame, vector: str, stats: Sequence, *, counts: Sequence = ()
 
 # ---- many forests at once ----------------------------------------------------------------------
 
-_TREES = "fit int, first long, trees long, levels int, feature binary, split binary, left binary, stats binary, value binary"
+_TREES = "fit int, first long, trees long, levels int, feature binary, split binary, left binary, stats binary, value binary, small boolean"
 
 
-def _packed(fit: int, first: int, grown: Grown) -> pa.RecordBatch:
+def _packed(fit: int, first: int, grown: Grown, kind: str) -> pa.RecordBatch:
+    """A row of a table of trees; the values of forests follow from the statistics, whole numbers that few bytes hold."""
+    small = kind == "forest" and grown.stats.max(initial=0) < 1 << 16
+    value = b"" if kind == "forest" else grown.value.astype(np.float64).tobytes()
     return pa.RecordBatch.from_pylist([{
         "fit": fit, "first": first, "trees": grown.trees, "levels": grown.levels,
         "feature": grown.feature.astype(np.int16).tobytes(), "split": grown.split.astype(np.int16).tobytes(),
-        "left": grown.left.astype(np.int32).tobytes(), "stats": grown.stats.astype(np.float64).tobytes(),
-        "value": grown.value.astype(np.float64).tobytes()}], schema=_SCHEMA)
+        "left": grown.left.astype(np.int32).tobytes(), "stats": grown.stats.astype(np.uint16 if small else np.float64).tobytes(), "value": value, "small": small}], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([("fit", pa.int32()), ("first", pa.int64()), ("trees", pa.int64()), ("levels", pa.int32()),
-                     *[(c, pa.binary()) for c in ("feature", "split", "left", "stats", "value")]])
+                     *[(c, pa.binary()) for c in ("feature", "split", "left", "stats", "value")], ("small", pa.bool_())])
 
 
 def _unpacked(row: dict) -> Grown:
     get = lambda name, kind: np.frombuffer(row[name], kind).astype(np.int64)
     feature = get("feature", np.int16)
-    stats, value = (np.frombuffer(row[name], np.float64).reshape(len(feature), -1) for name in ("stats", "value"))
+    stats = np.frombuffer(row["stats"], np.uint16 if row["small"] else np.float64).astype(np.float64).reshape(len(feature), -1)
+    value = np.frombuffer(row["value"], np.float64).reshape(len(feature), -1) if row["value"] else _leaf_shares(stats)
     return Grown(feature, get("split", np.int16), get("left", np.int32), stats, row["trees"], row["levels"], value)
 
 
@@ -625,7 +634,8 @@ def _in_tasks(data: Binned, fits: Sequence[Fit], schema: str, emit: Callable) ->
 def grow_forests(data: Binned, fits: Sequence[Fit]) -> DataFrame:
     """The trees of all forests as a written table, a row for each group of trees."""
     if data.fits_in_task:
-        return materialize(_in_tasks(data, fits, _TREES, lambda fit, first, grown, rows: [_packed(fit, first, grown)]))
+        return materialize(_in_tasks(data, fits, _TREES, lambda fit, first, grown, rows: [
+            _packed(fit, first, grown, fits[fit].settings.kind)]))
     spark, tables = data.rows.sparkSession, []
     for i, fit in enumerate(fits):
         step = 64 if fit.settings.kind == "forest" else fit.settings.trees
@@ -633,7 +643,7 @@ def grow_forests(data: Binned, fits: Sequence[Fit]) -> DataFrame:
             values = data.values if fit.columns is None else data.values[list(fit.columns)]
             grown = build(lambda f, seeds: Spread(data, f, seeds), fit, first, min(step, fit.settings.trees - first),
                           values, data.stat_count)
-            tables.append(spark.createDataFrame(pa.Table.from_batches([_packed(i, first, grown)]), _TREES))
+            tables.append(spark.createDataFrame(pa.Table.from_batches([_packed(i, first, grown, fit.settings.kind)]), _TREES))
         tables = [materialize(_union(tables))]
     return tables[0]
 

@@ -1,6 +1,7 @@
 """Trees against a plain version, whole trees in tasks against levels as jobs, and boosting."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from sessionlore.operators.sampling import draw_counts, rebalance
 from sessionlore.plans import ensembles as e
 from sessionlore.plans import models as m
 from sessionlore.plans import trees as t
+from sessionlore.plans.explain import explain, ranking, shapley
 
 
 @pytest.fixture(scope="module")
@@ -196,3 +198,49 @@ def test_search_and_votes(table):
     assert len(scores) == 6 and all(0.5 < s <= 1 for s in scores)
     best = e.best_settings(search, grid, draws=6)
     assert best.trees in (5, 10) and f"trees={best.trees}" in search.orderBy(F.desc("score"), "draw").first().settings
+
+
+def test_shapley_values_against_all_subsets(rows):
+    data, values = rows
+    rng = np.random.default_rng(6)
+    x = np.stack([*(np.round(rng.normal(size=120), 1) for _ in range(6))], 1)
+    y = np.digitize(x[:, 0] * x[:, 1] + x[:, 2] - x[:, 5], [-0.5, 0.5])
+    own = [np.unique(x[:, f]) for f in range(6)]
+    values = np.full((6, max(map(len, own))), np.inf)
+    for f, v in enumerate(own):
+        values[f, :len(v)] = v
+    data = t.Rows(t.to_bins(x, values), np.eye(3)[y], np.ones((120, 1), np.int64), np.zeros(120, int),
+                  t.mix(np.arange(120, dtype=np.uint64)), np.arange(120))
+    s = t.Settings(5, depth=6)
+    grown = t.build(lambda f, seeds: t.Local(data, data.weights(f, seeds), t.bin_sizes(values)), t.Fit(s), 0, 5, values, 3)
+    found, base = shapley(grown, data.bins[:12], 6)
+    assert np.allclose(found.sum(1) + base, t.votes(grown, data.bins[:12]) / 5)
+    cover = grown.stats.sum(1)
+
+    def expected(node, row, known):
+        f = grown.feature[node]
+        if f < 0:
+            return grown.value[node]
+        left = grown.left[node]
+        if f in known:
+            return expected(left + (row[f] > grown.split[node]), row, known)
+        return sum(cover[c] / cover[node] * expected(c, row, known) for c in (left, left + 1))
+
+    for i in range(12):
+        worth = {k: sum(expected(r, data.bins[i], k) for r in range(5)) / 5
+                 for n in range(7) for k in map(frozenset, combinations(range(6), n))}
+        for f in range(6):
+            want = sum(math.factorial(len(k)) * math.factorial(5 - len(k)) / math.factorial(6) * (worth[k | {f}] - v)
+                       for k, v in worth.items() if f not in k)
+            assert np.allclose(found[i, f], want)
+
+
+def test_explained_rows(table):
+    columns = ["a", "b", "c", "d"]
+    model = m.forest(10, 4).fit(table)
+    explained = explain(model, table, ["row_key"], columns)
+    sums = {(r["row_key"], r["class"]): r["s"] for r in explained.groupBy("row_key", "class").agg(F.sum("value").alias("s")).collect()}
+    rows = model.transform(table).select("row_key", vector_to_array("probability").alias("p")).collect()
+    base = [rows[0].p[c] - sums[rows[0].row_key, c] for c in range(3)]
+    assert all(abs(r.p[c] - sums[r.row_key, c] - base[c]) < 1e-9 for r in rows for c in range(3))
+    assert {r.feature for r in ranking(explained).limit(2).collect()} == {"a", "b"}

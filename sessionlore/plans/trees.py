@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ BINS = 250
 ROWS_IN_TASK = 64 << 20
 #: Entries (row, tree, candidate) that a group of trees may have in a task, and nodes of a level in one Spark job.
 ENTRIES, NODES_IN_JOB = 384 << 10, 4096
+#: Counts up to which draws follow the Poisson distribution term by term.
+MOST_SUMMED = 10_000
 _U = np.uint64
 
 
@@ -112,7 +115,11 @@ class Rows:
         out = np.zeros(u.shape)
         for value in np.unique(n[n > 0]).tolist():
             at = np.flatnonzero(n == value)
-            out[:, at] = np.searchsorted(_poisson(value), u[:, at], side="right")
+            if value <= MOST_SUMMED:
+                out[:, at] = np.searchsorted(_poisson(value), u[:, at], side="right")
+            else:  # a normal variable by then
+                normal = np.vectorize(NormalDist(value, math.sqrt(value)).inv_cdf, otypes=[float])
+                out[:, at] = np.maximum(np.rint(normal(np.clip(u[:, at], 1e-12, 1 - 1e-12))), 0)
         return out
 
 

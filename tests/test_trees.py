@@ -110,6 +110,9 @@ def test_draws_are_poisson(rows):
     weights = data.weights(t.Fit(s), t.tree_seeds(s, 0, s.trees))
     n = data.counts[:, 0]
     assert abs((weights.mean(0) / n).mean() - 1) < 0.01 and abs((weights.var(0) / n).mean() - 1) < 0.02
+    many = t.Rows(data.bins[:1], data.stats[:1], np.array([[50_000]]), data.part[:1], data.ids[:1], data.places[:1])
+    drawn = many.weights(t.Fit(s), t.tree_seeds(s, 0, s.trees))
+    assert abs(drawn.mean() / 50_000 - 1) < 0.001 and abs(drawn.var() / 50_000 - 1) < 0.1
     assert (data.weights(t.Fit(s, leave_out=2), t.tree_seeds(s, 0, 3))[:, data.part == 2] == 0).all()
 
 

@@ -6,9 +6,10 @@ longer token could still grow, the bytes read since, the last token before the p
 or fewer that reading has; a transition carries the change of the token count. States and transitions are
 compiled when first met and kept in flat arrays.
 
-Texts are read as chunks of equal size, all at once. A chunk that holds a reset maps every incoming state to
-one outgoing state, so only its head depends on the chunk before it; a chunk without a reset is run on a
-guess and again where the guess was wrong. Composing these maps from left to right gives the counts.
+Texts are read as chunks of equal size, all at once. What a chunk does up to its first reset is a map from incoming
+states to outgoing states and changes of the count; the rest of it does not depend on the chunk before. Maps are built
+over the states that occur at chunk borders, closed under each other, and composed by doubling: the maps of 2, 4, 8 ...
+chunks in a row, so that the counts of a text without resets take a logarithmic number of steps.
 """
 
 from __future__ import annotations
@@ -189,23 +190,42 @@ class Transducer:
         resets = np.append(np.flatnonzero(flags), len(data))
         reset = np.minimum(resets[np.searchsorted(resets, begin)], end)
         constant = reset < end
-        # From the reset on, or the whole chunk on a guess.
-        from_ = np.where(constant, reset, begin)
-        out, count = self.run(data, flags, from_, end, np.zeros(len(begin), np.int64))
-        used = np.where(constant, -1, 0)
-        head = np.zeros(len(begin), np.int64)
-        while True:
-            incoming = np.append(0, out[:-1])
-            again = np.flatnonzero((reset > begin) & (used != incoming))
-            if not len(again):
-                break
-            state, changed = self.run(data, flags, begin[again], reset[again], incoming[again])
-            used[again] = incoming[again]
-            head[again] = np.where(constant[again], changed, 0)
-            open_ = ~constant[again]
-            out[again[open_]], count[again[open_]] = state[open_], changed[open_]
-        total += np.bincount(np.array(owner)[part], count + head, len(texts)).astype(np.int64)
-        return total
+        # From the reset on; a chunk without one is read from the first state, for a state that occurs after it.
+        out, count = self.run(data, flags, np.where(constant, reset, begin), end, np.zeros(len(begin), np.int64))
+        text = np.array(owner)[part]
+        total += np.bincount(text, np.where(constant, count, 0), len(texts)).astype(np.int64)
+        chunk, changed = self.compose(data, flags, begin, reset, constant, out)
+        return total + np.bincount(text[chunk], changed, len(texts)).astype(np.int64)
+
+    def compose(self, data, flags, begin, reset, constant, out):
+        """For each stretch of bytes before a reset that spans chunks: its first chunk, and the change of the count.
+
+        ``out`` is the state after each chunk, exact where the chunk is ``constant``.
+        """
+        waiting = reset > begin
+        nodes, results = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        first = np.flatnonzero(waiting)
+        new = np.unique(first << 32 | out[first - 1])
+        while len(new):  # the maps, over the states that come up
+            at = new >> 32
+            found = np.stack(self.run(data, flags, begin[at], reset[at], new & 0xFFFFFFFF), 1)
+            nodes, results = np.append(nodes, new), np.concatenate([results, found])
+            on = ~constant[at] & (at + 1 < len(begin))
+            on[on] = waiting[at[on] + 1]
+            new = np.setdiff1d((at[on] + 1) << 32 | found[on, 0], nodes)
+        order = np.argsort(nodes)
+        nodes, state, changed = nodes[order], results[order, 0], results[order, 1]
+        at = nodes >> 32
+        on = ~constant[at] & (at + 1 < len(begin))
+        on[on] = waiting[at[on] + 1]
+        following = np.where(on, np.searchsorted(nodes, (at + 1) << 32 | state), -1)
+        while (following >= 0).any():  # maps of twice as many chunks
+            on = np.flatnonzero(following >= 0)
+            to = following[on]
+            changed[on] = changed[on] + changed[to]
+            following[on] = following[to]
+        starts = np.flatnonzero(waiting & np.append(True, constant[:-1]))
+        return starts, changed[np.searchsorted(nodes, starts << 32 | out[starts - 1])]
 
     def columns(self, texts: list[bytes | None], limit: int) -> list:
         texts = [t or b"" for t in texts]

@@ -330,8 +330,8 @@ def choose(key, sums, totals, candidates, nodes, values, sizes, settings: Settin
     start = np.maximum.accumulate(np.where(head, entry, 0))
     total = np.cumsum(sums, axis=0)
     left = total - (total[start] - sums[start])
-    rest = totals[slot] - left
     last = np.append(group[1:] != group[:-1], True)
+    rest = np.where(last[:, None], 0.0, totals[slot] - left)
     of = candidates[slot, group % width]
     value = values[of, own]
     following = np.where(last, value, np.append(value[1:], 0.0))

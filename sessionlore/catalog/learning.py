@@ -504,8 +504,7 @@ def job_stacked(t):
 @query("job_trimmed")
 def job_trimmed(t):
     """Entry 4: the trimmed features, a random search over three folds, a forest of its best settings as a submission file."""
-    table = assemble.create_features(t.log, ALL_TITLES, assemble.TRIMMED, t.hot)
-    final = materialize(assemble.with_labels(table, t.labels))
+    final = materialize(assemble.create_features(t.log, ALL_TITLES, assemble.TRIMMED, t.hot))  # brings its own label
     last, earlier = map(materialize, holdout.split_last(final))
     columns = assemble.feature_columns(final)
     train, test = (materialize(m.assemble(d, columns)) for d in (earlier, last))

@@ -505,12 +505,12 @@ class Binned:
 
 def _matrix(column, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def _rows(batch, features: int) -> Rows:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, features)
-    n = len(bins)
+    n = batch.num_rows
+    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, features)
     stats, counts = (_matrix(batch.column(c), len(batch.column(c)[0]) if n else 1) for c in ("stats", "counts"))
     return Rows(bins, stats, counts, batch.column("part").to_numpy(zero_copy_only=False),
                 batch.column("id").to_numpy(zero_copy_only=False).view(np.uint64),
@@ -553,7 +553,7 @@ def binned(df: DataFrame, vector: str, stats: Sequence, *, counts: Sequence = ()
     first = chosen.select(F.size("vector").alias("n")).first()
     if first is None:
         raise ValueError("no rows to learn from")
-    width = first["n"]
+    width = first["n"]  # 0 where no feature was kept: every tree is a leaf then
     values = bin_values(chosen, "vector", width)
     shared = df.sparkSession.sparkContext.broadcast(values)
     rest = [c for c in chosen.columns if c != "vector"]

@@ -247,3 +247,10 @@ def test_explained_rows(table):
     base = [rows[0].p[c] - sums[rows[0].row_key, c] for c in range(3)]
     assert all(abs(r.p[c] - sums[r.row_key, c] - base[c]) < 1e-9 for r in rows for c in range(3))
     assert {r.feature for r in ranking(explained).limit(2).collect()} == {"a", "b"}
+
+
+def test_no_features_at_all(table):
+    """Where no column correlates with the label, a bag still votes: for what its samples have most of."""
+    raw = table.drop("features", "label", "_vector")
+    voted = e.bagged_vote(raw, raw, ["row_key"], [], rounds=2, settings=t.Settings(5, 6))
+    assert voted.count() == 180 and voted.select("prediction").distinct().count() == 1

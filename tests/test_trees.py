@@ -254,3 +254,52 @@ def test_no_features_at_all(table):
     raw = table.drop("features", "label", "_vector")
     voted = e.bagged_vote(raw, raw, ["row_key"], [], rounds=2, settings=t.Settings(5, 6))
     assert voted.count() == 180 and voted.select("prediction").distinct().count() == 1
+
+
+def test_trees_and_rows_meet_without_the_driver(table, monkeypatch):
+    """A model whose trees are too many to be sent says the same, gives the same importances, and is never gathered."""
+    model = m.forest(23).fit(table)
+    sent = {r.row_key: r.p for r in model.transform(table).select("row_key", vector_to_array("probability").alias("p")).collect()}
+    grown, want = model.grown, t.gains(model.grown, 4)
+
+    def gathered(self):
+        raise AssertionError("trees on the driver")
+
+    monkeypatch.setattr(t, "NODES_SENT", 50)
+    monkeypatch.setattr(t, "BYTES_OF_ROWS", 400)
+    monkeypatch.setattr(t.TreesModel, "grown", property(gathered))
+    model = m.forest(23).fit(table)
+    assert not model.small and len(grown.feature) > 50
+    apart = {r.row_key: r.p for r in model.transform(table).select("row_key", vector_to_array("probability").alias("p")).collect()}
+    assert apart.keys() == sent.keys() and all(np.allclose(apart[k], sent[k], atol=1e-8) for k in sent)
+    assert np.allclose(model.featureImportances, want / want.sum())
+    assert explain(model, table, ["row_key"], ["a", "b", "c", "d"]).count() == 180 * 4 * 3
+
+
+def test_a_sweep_equals_forests_of_their_own(table):
+    found = {(r.trees, r.split): r.kappa for r in e.tree_sweep(table, table, [1, 4, 9]).collect()}
+    assert len(found) == 6
+    for n in (1, 4, 9):
+        own = m.forest(n).fit(table).transform(table).agg(e.quadratic_kappa("label", "prediction")).first()[0]
+        assert found[n, "train"] == found[n, "test"] == pytest.approx(own)
+
+
+def test_forests_that_share_trees_score_as_on_their_own(table):
+    data = t.binned(table, "_vector", t.one_hot("label", 3), part=F.col("row_key") % 2, keys=["row_key"])
+    fits = [t.Fit(t.Settings(n, depth), 1) for n, depth in ((3, None), (9, 2), (9, None), (5, 80))]
+    models, spans, members = t.families(fits)
+    assert spans == [(0, 3), (3, 5), (5, 9)] and members == [[0, 1, 2, 3], [1, 2, 3], [1, 2]]
+    together = {(r.fit, r.place): r.shares for r in t.left_out_shares(data, fits).collect()}
+    for i, fit in enumerate(fits):
+        for r in t.left_out_shares(data, [fit]).collect():
+            assert np.allclose(together[i, r.place], r.shares)
+
+
+def test_boosting_keeps_the_votes_of_earlier_trees(rows, monkeypatch):
+    """Each row meets each tree of a boosted model once while it grows."""
+    data, values = rows
+    data, met, plain = t.replace(data), [], t.votes
+    monkeypatch.setattr(t, "votes", lambda grown, bins, **more: met.append(grown.trees - more.get("first", 0)) or plain(grown, bins, **more))
+    s, classes = t.Settings(6, 2, "all", kind="softmax"), data.stats.shape[1]
+    t.build(lambda f, seeds: t.Local(data.facing(f), data.weights(f, seeds), t.bin_sizes(values)), t.Fit(s), 0, 6, values, classes)
+    assert sum(met) == 5 * classes

@@ -303,3 +303,17 @@ def test_boosting_keeps_the_votes_of_earlier_trees(rows, monkeypatch):
     s, classes = t.Settings(6, 2, "all", kind="softmax"), data.stats.shape[1]
     t.build(lambda f, seeds: t.Local(data.facing(f), data.weights(f, seeds), t.bin_sizes(values)), t.Fit(s), 0, 6, values, classes)
     assert sum(met) == 5 * classes
+
+
+def test_split_between_neighbouring_numbers():
+    """Their middle rounds to the upper one: rows of its bin must not go left of a split that counted them right."""
+    low = np.nextafter(1.0, 2.0)
+    high = np.nextafter(low, 2.0)
+    assert (low + high) / 2 == high
+    values = np.array([[low, high, 2.0]])
+    bins = np.array([[0]] * 3 + [[1]] * 4, np.uint8)
+    stats = np.eye(2)[bins[:, 0].astype(int)]
+    rows = t.Rows(bins, stats, np.ones((7, 1), np.int64), np.zeros(7, np.int32), np.arange(7, dtype=np.uint64), np.arange(7))
+    settings = t.Settings(1, None, "all", draw=False)
+    grown = t.build(lambda f, seeds: t.Local(rows.facing(f), rows.weights(f, seeds), t.bin_sizes(values)), t.Fit(settings), 0, 1, values, 2)
+    assert np.array_equal(t.votes(grown, bins), stats)

@@ -295,6 +295,28 @@ def test_forests_that_share_trees_score_as_on_their_own(table):
             assert np.allclose(together[i, r.place], r.shares)
 
 
+def test_forests_that_differ_in_the_rows_to_split_share_trees(table, monkeypatch):
+    monkeypatch.setattr(t, "ENTRIES", 0)  # a tree at a time, whose votes are added up
+    data = t.binned(table, "_vector", t.one_hot("label", 3), part=F.col("row_key") % 2, keys=["row_key"])
+    fits = [t.Fit(t.Settings(n, depth, split=split, leaf=2, draw=False), 1) for n, depth, split in ((6, None, 2), (6, 3, 10), (4, None, 25))]
+    models, spans, members = t.families(fits)
+    assert spans == [(0, 4), (4, 6)] and [model.settings.split for model in models] == [2, 2]
+    together = {(r.fit, r.place): r.shares for r in t.left_out_shares(data, fits).collect()}
+    alone = {(i, r.place): r.shares for i, fit in enumerate(fits) for r in t.left_out_shares(data, [fit]).collect()}
+    assert together.keys() == alone.keys() and all(np.allclose(v, alone[k]) for k, v in together.items())
+    trees = t.grow_forests(data, fits)
+    grown = {(r.fit, r.place): r.shares for r in t.left_out_shares(data, fits, trees).collect()}
+    assert grown.keys() == alone.keys() and all(np.allclose(v, alone[k]) for k, v in grown.items())
+
+
+def test_a_feature_sweep_grows_each_forest_once(spark, table, monkeypatch):
+    jobs, plain = [], t._in_tasks
+    monkeypatch.setattr(t, "_in_tasks", lambda data, fits, *a, **more: jobs.append(sum(f.settings.trees for f in fits)) or plain(data, fits, *a, **more))
+    raw = table.select("row_key", "accuracy_group", "a", "b", "c")
+    sweep, _ = e.elimination_sweep(raw, raw, ["a", "b", "c"], t.Settings(4))
+    assert sweep.count() == 3 and jobs == [4, 4, 4]
+
+
 def test_boosting_keeps_the_votes_of_earlier_trees(rows, monkeypatch):
     """Each row meets each tree of a boosted model once while it grows."""
     data, values = rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlore.catalog import learning
 from sessionlore.catalog.base import QUERIES
-from sessionlore.operators.nearest import nearest
+from sessionlore.operators.nearest import _shortlist, nearest
 from sessionlore.operators.sampling import chain, number_within, rebalance
 from sessionlore.operators.statistics import describe, value_counts
 from sessionlore.plans import ensembles as e
@@ -203,3 +203,24 @@ def test_bagged_job_runs_at_full_size(monkeypatch):
     learning.job_bagged(MagicMock())
     (_, _, _, columns), more = vote.call_args
     assert columns == ["a"] and more.get("rounds", 40) == 40 and more.get("settings") is None
+
+
+def test_nearest_holds_few_distances_at_once(monkeypatch):
+    monkeypatch.setattr("sessionlore.operators.nearest.DISTANCES_AT_ONCE", 400)
+    sizes, plain = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **more: sizes.append(x.size) or plain(x, *a, **more))
+    x = np.random.default_rng(1).normal(size=(90, 4))
+    found = [*_shortlist(x, x[:50], 3)]
+    assert max(sizes) <= 400 and len(found) == 90
+    for ask, near in zip(x, found):
+        assert {*np.argsort(((x[:50] - ask) ** 2).sum(1))[:3]} <= {*near}
+
+
+def test_nearest_with_bounds_from_home_groups_of_uneven_width(spark):
+    x = np.random.default_rng(2).normal(size=(1200, 2)) ** 3
+    rows = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, vector array<double>")
+    found = {}
+    for r in nearest(rows, rows, 3).collect():
+        found.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    for i in range(len(x)):
+        assert [n for _, n in sorted(found[i])] == np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:3].tolist()

@@ -1,6 +1,7 @@
 """Trees against a plain version, whole trees in tasks against levels as jobs, and boosting."""
 
 import math
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -339,3 +340,42 @@ def test_split_between_neighbouring_numbers():
     settings = t.Settings(1, None, "all", draw=False)
     grown = t.build(lambda f, seeds: t.Local(rows.facing(f), rows.weights(f, seeds), t.bin_sizes(values)), t.Fit(settings), 0, 1, values, 2)
     assert np.array_equal(t.votes(grown, bins), stats)
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+@pytest.mark.parametrize("classes, most", [(4, 3), (4, 9000), (11, 60)])
+def test_nodes_searched_some_at_a_time_split_as_all_at_once(monkeypatch, name, classes, most):
+    monkeypatch.setattr(t, "SEARCHED", 300)
+    monkeypatch.setattr(t, "COUNTED", 8)
+    monkeypatch.setattr(t, "COUNTED_ALONE", 60)
+    rng = np.random.default_rng(classes)
+    bins = np.stack([rng.integers(0, k, 300) for k in (30, 2, 1, 12, 5)], 1).astype(np.uint8)
+    values = np.full((5, 30), np.inf)
+    for f, k in enumerate((30, 2, 1, 12, 5)):
+        values[f, :k] = np.sort(rng.normal(size=k))
+    y = (bins[:, 0] // 4 + rng.integers(0, 3, 300)) % classes
+    rows = t.Rows(bins, np.eye(classes)[y], rng.integers(1, most, (300, 1)), np.zeros(300, int),
+                  t.mix(np.arange(300, dtype=np.uint64)), np.arange(300))
+    s, sizes = SETTINGS[name], t.bin_sizes(values)
+    fit, seeds = t.Fit(s), t.tree_seeds(s, 0, s.trees)
+    found = t.grow(t.Local(rows, rows.weights(fit, seeds), sizes), seeds, values, s)
+    at_once = t.Local(rows, rows.weights(fit, seeds), sizes)
+    at_once.whole = False
+    expected = t.grow(at_once, seeds, values, s)
+    for part in ("feature", "split", "left", "stats"):
+        assert (getattr(found, part) == getattr(expected, part)).all(), part
+    assert found.levels > 2
+
+
+def test_memory_of_a_tree_follows_its_rows_not_their_candidates():
+    rng = np.random.default_rng(1)
+    n = 100_000
+    rows = t.Rows(rng.integers(0, 200, (n, 64)).astype(np.uint8), np.eye(4)[rng.integers(0, 4, n)], np.ones((n, 1), int),
+                  np.zeros(n, int), t.mix(np.arange(n, dtype=np.uint64)), np.arange(n))
+    values, s = np.tile(np.arange(200.0), (64, 1)), t.Settings(1, depth=6)
+    rows.label, rows._columns
+    tracemalloc.start()
+    t.build(lambda f, seeds: t.Local(rows, rows.weights(f, seeds), t.bin_sizes(values)), t.Fit(s), 0, 1, values, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 8 candidates of 63,000 rows are 4 MB for each array of them

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sessionlore.catalog import learning
 from sessionlore.catalog.base import QUERIES
-from sessionlore.operators.nearest import _shortlist, nearest
+from sessionlore.operators import nearest as nearest_module
+from sessionlore.operators.nearest import _shortlist, _within, nearest
 from sessionlore.operators.sampling import chain, number_within, rebalance
 from sessionlore.operators.statistics import describe, value_counts
 from sessionlore.plans import ensembles as e
@@ -65,6 +66,50 @@ def test_nearest_equals_brute_force(spark, points, monkeypatch):
         assert [n for _, n in sorted(found[key])] == list(ids[np.lexsort((ids, d))[:4]]), key
 
 
+@pytest.mark.parametrize("chunk", [13, 4000])
+def test_neighbours_that_tie_at_the_bound_are_kept(spark, monkeypatch, chunk):
+    """Whole coordinates, so that many distances are equal; ids come twice on the side that asks."""
+    monkeypatch.setattr("sessionlore.operators.nearest.ROWS_PER_CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    x, asked = rng.integers(0, 5, (600, 3)) * 1.0 + 1e6, rng.integers(0, 5, (90, 3)) * 1.0 + 1e6
+    known = spark.createDataFrame([(f"k{i:03}", v.tolist(), i % 4) for i, v in enumerate(x)], "id string, vector array<double>, label int")
+    asks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id int, vector array<double>")
+    found = {}
+    for r in nearest(known, asks, 6).collect():
+        found.setdefault(r["query"], []).append((r["rank"], r["id"], r["distance"], r["label"]))
+    for i, v in enumerate(asked):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        best = np.lexsort((np.arange(600), d))[:6]
+        assert sorted(found[i]) == [(n + 1, f"k{j:03}", d[j], j % 4) for n, j in enumerate(best)]
+
+
+def test_other_groups_give_only_rows_within_the_bound():
+    rng = np.random.default_rng(2)
+    points, asks = rng.normal(size=(500, 8)), rng.normal(size=(40, 8))
+    d = np.sqrt(((points[None] - asks[:, None]) ** 2).sum(2))
+    bounds = np.sort(d, axis=1)[:, 2]
+    bounds[::2] = 0.0
+    got = [(i, j, x) for part in _within(asks, points, bounds, 5) for i, j, x in zip(*part)]
+    assert got == [(i, j, d[i, j]) for i in range(1, 40, 2) for j in np.argsort(d[i])[:3]]
+
+
+def test_few_queries_meet_a_chunk_once(spark, monkeypatch):
+    """Known rows are sent once for all groups of queries that make one block, not once for each of them."""
+    rng = np.random.default_rng(4)
+    vectors = lambda n: [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 6)))]
+    known, asks = (spark.createDataFrame(vectors(n), "id long, vector array<double>") for n in (2000, 100))
+    count = spark.sparkContext.accumulator(0)
+    within = nearest_module._within
+
+    def counted(*a):
+        count.add(1)
+        return within(*a)
+
+    monkeypatch.setattr(nearest_module, "_within", counted)
+    met = nearest(known, asks, 5).collect()
+    assert len(met) == 500 and 0 < count.value <= 2 * 11  # 11 centres, one block
+
+
 def test_describe(spark):
     df = spark.createDataFrame([(float(i % 17),) for i in range(100)] + [(None,)], "x double")
     row = describe(df, ["x"]).first()

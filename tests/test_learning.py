@@ -269,3 +269,14 @@ def test_nearest_with_bounds_from_home_groups_of_uneven_width(spark):
         found.setdefault(r["query"], []).append((r["rank"], r["id"]))
     for i in range(len(x)):
         assert [n for _, n in sorted(found[i])] == np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:3].tolist()
+
+
+def test_permutation_hands_over_no_more_than_a_model_needs(points):
+    class Constant:
+        def transform(self, df):
+            assert set(df.columns) == {m.FEATURES, m.LABEL}
+            return df.withColumn("prediction", F.lit(1.0))
+
+    rows = points.drop("features", "label")
+    found = e.permutation_importance(Constant(), rows, ["a", "b", "c"], ["row_key"]).collect()
+    assert [(r["feature"], r["importance"]) for r in found] == [("a", 0.0), ("b", 0.0), ("c", 0.0)]
